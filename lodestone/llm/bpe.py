@@ -12,6 +12,7 @@ their own row; an empty table gives an empty result; columns other than doc_id a
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import make_blocks
+from lodestone.llm.blocks import make_blocks, read_head
 from lodestone.llm.common import gather, n_targets, narrow, pack, texts, unpack, unpack_words, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -54,6 +55,7 @@ def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(table), np.uint8)
 
 
+@functools.lru_cache(2)
 def _encoder(path: str, pattern: str):
     import tiktoken
 
@@ -98,19 +100,18 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     blocks = make_blocks(texts(docs), split, n_targets(spark), "bpe-blocks")
     back = encoded_words(blocks.where("target is not null").select("block", "target", "part"), path, pattern)
     both = blocks.where("head is not null").select("block", "head", F.lit(None).cast("int").alias("target"), F.lit(None).cast("binary").alias("ids")).unionByName(
-        back.select("block", F.lit(None).cast("binary").alias("head"), "target", "ids")
+        back.select("block", F.lit(None).cast("string").alias("head"), "target", "ids")
     )
     shape = pa.schema([("block", pa.int64()), ("doc", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.select(["head", "target", "ids"]).to_pylist()
-        ids, null, counts, codes = unpack(next(r["head"] for r in rows if r["head"] is not None))
+        ids, null, counts, codes = read_head(next(r["head"] for r in rows if r["head"] is not None))
         shares = [unpack(r["ids"]) for r in sorted((r for r in rows if r["ids"] is not None), key=lambda r: r["target"])]
         empty = np.zeros(0, np.int64)
         lengths = np.concatenate([empty, *(s[0] for s in shares)]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *(s[1] for s in shares)]).astype(np.uint32)
         starts = np.cumsum(lengths) - lengths
-        codes = codes.astype(np.int64)
         per_word = lengths[codes]
         before = np.concatenate(([0], np.cumsum(per_word)))
         ends = np.cumsum(counts.astype(np.int64))

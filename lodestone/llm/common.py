@@ -18,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,13 +85,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of ``uri``, as executors reach it."""
+    return fs.FileSystem.from_uri(uri)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty) of ``docs``, whatever else it has."""
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def batched(df: DataFrame, limit: str = "16m") -> DataFrame:
+def batched(df: DataFrame, limit: str = "4m") -> DataFrame:
     """Bound the bytes of the Arrow batches that Python stages get: texts can be very long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
     return df
@@ -114,11 +120,11 @@ def narrow(a: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Flat arrays as one compressed string of bytes."""
+    """Flat arrays as one compressed string of bytes, byte planes apart (small numbers leave zeros together)."""
     arrays = [np.ascontiguousarray(a) for a in arrays]
     head = json.dumps([[a.dtype.str, a.size] for a in arrays]).encode()
-    body = b"".join([len(head).to_bytes(4, "little"), head, *(a.tobytes() for a in arrays)])
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    planes = (np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -127,8 +133,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     at = 4 + int.from_bytes(body[:4], "little")
     out = []
     for kind, size in json.loads(body[4:at]):
-        out.append(np.frombuffer(body, dtype=kind, count=size, offset=at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(body, np.uint8, count=size * width, offset=at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += size * width
     return out
 
 
@@ -146,13 +154,13 @@ def gather(starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndar
     """The runs data[start : start + length], one after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    index = np.ones(total, np.int64)
+    index = np.ones(total, np.int32 if len(data) < 1 << 31 else np.int64)
     full = lengths > 0
     s, n = starts[full], lengths[full]
     if total:
         at = np.concatenate(([0], np.cumsum(n)[:-1]))
         index[at] = s - np.concatenate(([0], s[:-1] + n[:-1] - 1))
-        index = np.cumsum(index)
+        np.cumsum(index, out=index)
     return data[index[:total]]
 
 

@@ -31,5 +31,5 @@ def test_small_blocks_and_empty_table(spark, odd_docs, no_docs):
     from lodestone.llm.blocks import make_blocks
     from lodestone.llm.common import texts
 
-    blocks = make_blocks(texts(odd_docs), lambda: str.split, 7, "tiny", block_bytes=200)
+    blocks = make_blocks(texts(odd_docs), lambda: str.split, 7, "tiny", block_chars=200)
     assert blocks.where("head is not null").count() > 10
