@@ -14,21 +14,26 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batched, scratch, texts, written
+from lodestone.llm.common import batched, gather, place, scratch, texts, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids a Python worker keeps; it starts anew when they are more.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: Words given to the library at once: what it returns is large beside its ids.
+AT_ONCE = 4_000
+_STOPS = tuple(b".,;:!?")
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -37,11 +42,6 @@ def default_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def place(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of ``uri``, as the executors reach it."""
-    return fs.FileSystem.from_uri(uri)
-
-
 def mapped(uri: str, dtype: str) -> np.ndarray:
     """A file as an array: memory-mapped where the file system is mounted, else read."""
     system, path = place(uri)
@@ -53,29 +53,72 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def word_encoder(path: str, dtype: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
-    """The texts' ids and the end id as bytes of ``dtype``.
+class WordEncoder:
+    """Ids of texts by their words, each word encoded once while it is remembered.
 
-    The vocabulary's rules never join characters across white space (they squeeze it, lower-case
-    and split on it), so texts are encoded by their white-space-free words and each word once.
+    The vocabulary's rules never join characters across white space (they squeeze it, lower-case and
+    split on it), and split letters from what is neither letter, digit nor space. So a text's ids are
+    those of its words, and a word's those of its letters and of one stop after them. Upper case A-Z
+    makes no difference but in the names of special tokens.
     """
-    from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-    end = np.array([end_id], dtype).tobytes()
+    def __init__(self, path: str, dtype: str, end_id: int) -> None:
+        from tokenizers import Tokenizer
+
+        self.coder, self.dtype, self.end_id = Tokenizer.from_file(path), dtype, end_id
+        self.known: dict[bytes, bytes] = {}
 
-    def encode(batch: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in batch]  # bytes: ASCII white space only
-        new = list({w for words in split for w in words}.difference(known))
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, coder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype).tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    def _plain(self, word: bytes) -> bytes:
+        # Letters alone need neither normalising nor splitting.
+        return np.array([t.id for t in self.coder.model.tokenize(word.decode())], self.dtype).tobytes()
 
-    return encode
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of ``words``."""
+        known = self.known
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        rest = []
+        for w in words:
+            if w in known:
+                continue
+            if w.isalpha() and w.islower():  # ASCII only, for bytes
+                known[w] = self._plain(w)
+            elif w[-1:] and w[-1] in _STOPS and w[:-1].isalpha() and w[:-1].islower():
+                stem, stop = w[:-1], w[-1:]
+                for part in (stem, stop):
+                    if part not in known:
+                        known[part] = self._plain(part)
+                known[w] = known[stem] + known[stop]
+            else:
+                rest.append(w)
+        for lo in range(0, len(rest), AT_ONCE):
+            part = rest[lo : lo + AT_ONCE]
+            for w, e in zip(part, self.coder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                known[w] = np.array(e.ids, self.dtype).tobytes()
+        return [known[w] for w in words]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of ``column``, the end id after each, and how many each has."""
+        special = pc.match_substring(column, "<|")
+        words = pc.ascii_split_whitespace(pc.if_else(special, column, pc.ascii_lower(column)))
+        flat = words.flatten().cast(pa.binary()).dictionary_encode()
+        ids = self.words(flat.dictionary.to_pylist())
+        width = np.dtype(self.dtype).itemsize
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        data = np.frombuffer(b"".join([*ids, np.array([self.end_id], self.dtype).tobytes()]), self.dtype)
+        lengths = np.append(lengths, 1)
+        starts = np.cumsum(lengths) - lengths
+        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.insert(flat.indices.to_numpy().astype(np.int64), np.cumsum(sizes), len(ids))
+        per_word = lengths[codes]
+        counts = np.add.reduceat(per_word, np.cumsum(sizes + 1) - sizes - 1) if len(sizes) else np.zeros(0, np.int64)
+        return gather(starts[codes], per_word, data), counts
+
+
+@functools.lru_cache(2)
+def word_encoder(path: str, dtype: str, end_id: int) -> WordEncoder:
+    """The process's encoder, kept from task to task."""
+    return WordEncoder(path, dtype, end_id)
 
 
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, vocabulary_size: int | None = None, partitions: int | None = None) -> DataFrame:
@@ -101,22 +144,21 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, vo
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encode = word_encoder(path, dtype, end_id)
+        coder = word_encoder(path, dtype, end_id)
         name, system, root = f"{task.partitionId():08d}-{task.taskAttemptId()}", *place(folder)
         system.create_dir(root, recursive=True)
         docs, tokens = 0, 0
         with system.open_output_stream(f"{root}/{name}.ids") as ids, system.open_output_stream(f"{root}/{name}.lengths") as lengths, system.open_output_stream(f"{root}/{name}.docs") as keys:
             for batch in batches:
-                coded = encode(batch.column(1).to_pylist())
-                counts = np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(dtype).itemsize
-                ids.write(b"".join(coded))
+                coded, counts = coder.encode(batch.column(1))
+                ids.write(coded.tobytes())
                 lengths.write(counts.astype("<u8").tobytes())
                 key = batch.column(0)
                 keys.write(np.array([key.fill_null(-(2**63)).to_numpy(zero_copy_only=False)], "<i8").tobytes())
-                docs, tokens = docs + len(coded), tokens + int(counts.sum())
+                docs, tokens = docs + len(counts), tokens + int(counts.sum())
         yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "name": name, "n_docs": docs, "n_tokens": tokens}], schema=arrow)
 
-    dealt = batched(texts(docs)).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = batched(texts(docs), "16m").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     reports = written(dealt.mapInArrow(write, shape), "token-shards").where("n_docs > 0")
     # One row for each partition, not for each document.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
