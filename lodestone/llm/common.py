@@ -112,6 +112,15 @@ def crc_split(mod: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod == 0
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for ``value``, which is evaluated once.
+
+    A column would do if the optimiser did not copy a column's expression into a lambda that names it
+    once, where it is evaluated for each element.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     """Non-negative integers in the smallest type that holds them."""
     a = np.asarray(a)

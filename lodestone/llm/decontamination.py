@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import texts, written
+from lodestone.llm.common import let, texts, written
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -42,20 +42,20 @@ def template(text: str) -> str:
     signs = f"regexp_replace({marked}, '(?<=[0-9]) ?([{SIGNS}])|([$€£])(?= ?{SLOT}n)', ' {SLOT}u$1$2')"
     # Signs would be split away as punctuation, so each becomes a letter of its own.
     spelt = f"translate({signs}, '{SIGNS}', '{SPELT}')"
-    whole = f"aggregate(array({named}), '', (z, t) -> if(t rlike '[0-9]', {spelt}, t))"
+    whole = let(named, "t", f"if(t rlike '[0-9]', {spelt}, t)")
     return rf"filter(split(lower({whole}), '[^\\p{{L}}\\p{{N}}\\ue000-\\ue005]+'), w -> w <> '')"
 
 
 def windows(df: DataFrame, key: str) -> DataFrame:
     """``key, pos, h, slots``: every window of the template tokens; slots (null: none) is the values by place."""
     w = WINDOW
-    df = df.withColumn("tokens", F.expr(template("text")))
-    df = df.withColumn("hashes", F.expr(f"transform(tokens, w -> xxhash64(if(startswith(w, '{SLOT}'), substring(w, 1, 2), w)))"))
-    df = df.withColumn("slotted", F.expr(f"exists(tokens, w -> startswith(w, '{SLOT}'))"))
-    values = f"if(slotted and exists(slice(tokens, i + 1, {w}), w -> startswith(w, '{SLOT}')), transform(slice(tokens, i + 1, {w}), w -> if(startswith(w, '{SLOT}'), w, '')), null)"
-    hashed = ", ".join(f"hashes[i + {k}]" for k in range(w))
-    each = f"if(size(hashes) < {w}, array(), transform(sequence(0, size(hashes) - {w}), i -> struct(xxhash64({hashed}) as h, {values} as slots)))"
-    return df.select(key, F.expr(each).alias("all")).select(key, F.posexplode("all").alias("pos", "x")).select(key, "pos", "x.h", "x.slots")
+    slot = f"startswith(w, '{SLOT}')"
+    values = f"if(z.s and exists(slice(t, i + 1, {w}), w -> {slot}), transform(slice(t, i + 1, {w}), w -> if({slot}, w, '')), null)"
+    hashed = ", ".join(f"z.h[i + {k}]" for k in range(w))
+    each = f"if(size(t) < {w}, cast(array() as array<struct<h: bigint, slots: array<string>>>), transform(sequence(0, size(t) - {w}), i -> struct(xxhash64({hashed}) as h, {values} as slots)))"
+    coded = f"struct(transform(t, w -> xxhash64(if({slot}, substring(w, 1, 2), w))) as h, exists(t, w -> {slot}) as s)"
+    whole = let(template("text"), "t", let(coded, "z", each))
+    return df.select(key, F.posexplode(F.expr(whole)).alias("pos", "x")).select(key, "pos", "x.h", "x.slots")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:

@@ -18,10 +18,10 @@ rows; an empty table gives an empty result; other columns are ignored. Offsets a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import texts, written
+from lodestone.llm.common import let, texts, written
 
 #: The four base kinds in their order. A match starts where a run of its first class
 #: does (or where the last match ended): from within the run it would end alike. Possessive where
@@ -45,23 +45,20 @@ def running(lengths: str) -> str:
     """SQL of the sums of all elements before each of ``lengths``; in two levels, so long arrays stay cheap."""
     chunks = f"transform(sequence(0, (size({lengths}) - 1) div 64), c -> aggregate(slice({lengths}, cast(c * 64 + 1 as int), 64), 0, (s, x) -> s + x))"
     firsts = f"aggregate({chunks}, struct(cast(array() as array<int>) as a, 0 as s), (acc, x) -> struct(concat(acc.a, array(acc.s)) as a, acc.s + x as s), acc -> acc.a)"
-    return f"""if(size({lengths}) = 0, cast(array() as array<int>), aggregate(array({firsts}), cast(array() as array<int>), (z, f) ->
-        transform({lengths}, (x, i) -> f[i div 64] + aggregate(slice({lengths}, cast(i div 64 * 64 + 1 as int), i % 64), 0, (s, y) -> s + y))))"""
+    each = f"transform({lengths}, (x, i) -> f[i div 64] + aggregate(slice({lengths}, cast(i div 64 * 64 + 1 as int), i % 64), 0, (s, y) -> s + y))"
+    return f"if(size({lengths}) = 0, cast(array() as array<int>), {let(firsts, 'f', each)})"
 
 
-def located(df: DataFrame, name: str, pattern: str, gate: Column, context: bool = False) -> DataFrame:
-    """``df`` with array column ``name`` of all matches: start, end, value (and the text around them)."""
-    p, m, n, b = (f"_{name}_{x}" for x in "pmnb")
-    none = F.array().cast("array<string>")
-    around = f", substring({p}[i], -{CONTEXT}) as before, substring({p}[i + 1], 1, {CONTEXT}) as after" if context else ""
-    return (
-        df.withColumn(p, F.when(gate, F.split("text", pattern, -1)).otherwise(none))
-        .withColumn(m, F.when(gate, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
-        .withColumn(n, F.expr(f"transform({m}, (x, i) -> length({p}[i]) + length(x))"))
-        .withColumn(b, F.expr(running(n)))
-        .withColumn(name, F.expr(f"transform({m}, (x, i) -> struct({b}[i] + length({p}[i]) as start, {b}[i] + length({p}[i]) + length(x) as end, x as value{around}))"))
-        .drop(p, m, n, b)
-    )
+def located(pattern: str, gate: str, context: bool = False) -> str:
+    """SQL of all matches in column text: start, end, value (and the text around them)."""
+    around = f", substring(z.p[i], -{CONTEXT}) as before, substring(z.p[i + 1], 1, {CONTEXT}) as after" if context else ""
+    spans = f"transform(z.m, (x, i) -> struct(b[i] + length(z.p[i]) as start, b[i] + length(z.p[i]) + length(x) as end, x as value{around}))"
+    lengths = "transform(z.m, (x, i) -> length(z.p[i]) + length(x))"
+    found = let(lengths, "n", let(running("n"), "b", spans))
+    pattern = pattern.replace("\\", "\\\\")
+    both = f"struct(split(text, '{pattern}', -1) as p, regexp_extract_all(text, '{pattern}', 0) as m)"
+    extra = ", before: string, after: string" if context else ""
+    return f"if({gate}, {let(both, 'z', found)}, cast(array() as array<struct<start: int, end: int, value: string{extra}>>))"
 
 
 _DIGITS = "length(regexp_replace(x.value, '[^0-9]', ''))"
@@ -83,30 +80,30 @@ SHAPE = {
 }
 
 
+_DIGIT, _AT = "text rlike '[0-9]'", "contains(text, '@')"
+_GATE = {"email": _AT, "ip": _DIGIT, "card": _DIGIT, "phone": f"({_DIGIT} and contains(text, '+'))"}
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with an array of valid spans for each kind."""
-    df = texts(docs)
-    digits, at = F.col("text").rlike("[0-9]"), F.contains("text", F.lit("@"))
-    gates = {"email": at, "ip": digits, "card": digits, "phone": digits & F.contains("text", F.lit("+"))}
-    for kind, pattern in KINDS.items():
-        df = located(df, kind, pattern, gates[kind]).withColumn(kind, F.expr(f"transform(filter({kind}, x -> {VALID[kind]}), x -> struct(x.start as start, x.end as end))"))
-    return df
+    """``doc_id, text, base``: base has an array of valid spans for each kind."""
+    each = ", ".join(f"transform(filter({located(p, _GATE[k])}, x -> {VALID[k]}), x -> struct(x.start as start, x.end as end)) as {k}" for k, p in KINDS.items())
+    return texts(docs).withColumn("base", F.expr(f"struct({each})"))
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """:func:`base`'s rows without the text, with the array ``found`` of seeds and candidates."""
-    digits = F.col("text").rlike("[0-9]")
-    odd = F.contains("text", F.lit("@")) | F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]"))
-    df = located(located(df, "number", NUMBER, digits, True), "address", ADDRESS, odd, True)
-    same = " ".join(f"when exists({k}, s -> s.start = x.start and s.end = x.end) then '{k}'" for k in KINDS)
-    overlap = " or ".join(f"exists({k}, s -> s.start < x.end and x.start < s.end)" for k in KINDS)
+    """``doc_id``, the base spans by kind, and the array ``found`` of seeds and candidates."""
+    odd = f"({_AT} or contains(text, '(at)') or contains(text, '[at]'))"
+    same = " ".join(f"when exists(k.{k}, s -> s.start = x.start and s.end = x.end) then '{k}'" for k in KINDS)
+    overlap = " or ".join(f"exists(k.{k}, s -> s.start < x.end and x.start < s.end)" for k in KINDS)
     kind = f"case {same} when {overlap} then 'part' end"
     word = r"regexp_extract(x.before, '(\\S+)\\s*$', 1)"
     two = r"regexp_extract(x.before, '(\\S+\\s+\\S+)\\s*$', 1)"
     after = r"regexp_extract(x.after, '^\\s*(\\S+)', 1)"
-    patterns = f"filter(array(if({two} = '', null, concat('2 ', lower(regexp_replace({two}, '\\\\s+', ' ')))), if({word} = '' or {after} = '', null, concat('1 ', lower({word}), ' _ ', lower({after})))), p -> p is not null)"
-    found = f"filter(transform(concat(number, address), x -> struct({kind} as kind, x.start as start, x.end as end, x.value as value, {patterns} as patterns)), c -> c.kind is null or c.kind <> 'part')"
-    return df.withColumn("found", F.expr(found)).drop("text", "number", "address")
+    patterns = rf"filter(array(if({two} = '', null, concat('2 ', lower(regexp_replace({two}, '\\s+', ' ')))), if({word} = '' or {after} = '', null, concat('1 ', lower({word}), ' _ ', lower({after})))), p -> p is not null)"
+    loose = f"concat({located(NUMBER, _DIGIT, True)}, {located(ADDRESS, odd, True)})"
+    found = f"filter(transform({loose}, x -> struct({kind} as kind, x.start as start, x.end as end, x.value as value, {patterns} as patterns)), c -> c.kind is null or c.kind <> 'part')"
+    out = df.withColumn("found", F.expr(let("base", "k", found)))
+    return out.select("doc_id", *(F.col(f"base.{k}").alias(k) for k in KINDS), "found")
 
 
 def bootstrapped(found: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
@@ -139,9 +136,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     rows = written(candidates(base(docs)).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     added = bootstrapped(rows.select("row", "found")).groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
-    listed = lambda k: F.transform(k, lambda x: F.concat(F.lit(f"{k}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
-    first = F.array_join(F.concat(*(listed(k) for k in KINDS)), ",")
+    listed = lambda column, kind: F.expr(f"transform({column}, x -> concat('{kind}:', x.start, ':', x.end))")
+    first = F.array_join(F.concat(*(listed(k, k) for k in KINDS)), ",")
     both = {k: F.expr(f"array_sort(concat({k}, transform(filter(coalesce(added, array()), x -> x.kind = '{k}'), x -> struct(x.start as start, x.end as end))))") for k in KINDS}
     out = rows.drop("found").join(added, "row", "left").withColumns({f"_{k}": c for k, c in both.items()})
-    spans = F.array_join(F.concat(*(F.transform(f"_{k}", lambda x, k=k: F.concat(F.lit(f"{k}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))) for k in KINDS)), ",")
+    spans = F.array_join(F.concat(*(listed(f"_{k}", k) for k in KINDS)), ",")
     return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(first, 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("added"), F.lit(0)).alias("n_added"))
