@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from lodestone.llm.common import batched, gather, place, scratch, texts, written
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids a Python worker keeps; it starts anew when they are more.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Words given to the library at once: what it returns is large beside its ids.
 AT_ONCE = 4_000
 _STOPS = tuple(b".,;:!?")
@@ -58,8 +59,8 @@ class WordEncoder:
 
     The vocabulary's rules never join characters across white space (they squeeze it, lower-case and
     split on it), and split letters from what is neither letter, digit nor space. So a text's ids are
-    those of its words, and a word's those of its letters and of one stop after them. Upper case A-Z
-    makes no difference but in the names of special tokens.
+    those of its words, and a word's those of its letters and of one stop after them; letters alone go to
+    the library's merges without its normalising and splitting. Upper case A-Z makes no difference but in the names of special tokens.
     """
 
     def __init__(self, path: str, dtype: str, end_id: int) -> None:
@@ -67,34 +68,53 @@ class WordEncoder:
 
         self.coder, self.dtype, self.end_id = Tokenizer.from_file(path), dtype, end_id
         self.known: dict[bytes, bytes] = {}
-
-    def _plain(self, word: bytes) -> bytes:
-        # Letters alone need neither normalising nor splitting.
-        return np.array([t.id for t in self.coder.model.tokenize(word.decode())], self.dtype).tobytes()
+        size = max(self.coder.get_vocab_size(with_added_tokens=True), end_id + 1)
+        self.as_bytes = [x.tobytes() for x in np.arange(size).astype(dtype)]
+        # The byte-level alphabet: visible Latin-1 characters stand for themselves, the rest follow 255.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a word that is letters alone, already normal and in lower case; None for others."""
+        if word.isalpha():  # ASCII only, for bytes
+            if not word.islower():
+                return None
+            text = word.decode()
+        else:
+            text = word.decode()
+            if not text.isalpha() or text != text.lower() or not unicodedata.is_normalized("NFC", text):
+                return None
+            text = word.decode("latin-1").translate(self.alphabet)
+        return b"".join([self.as_bytes[t.id] for t in self.coder.model.tokenize(text)])
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of ``words``."""
         known = self.known
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        rest = []
+        rest, letters = [], self._letters
         for w in words:
             if w in known:
                 continue
-            if w.isalpha() and w.islower():  # ASCII only, for bytes
-                known[w] = self._plain(w)
-            elif w[-1:] and w[-1] in _STOPS and w[:-1].isalpha() and w[:-1].islower():
+            if w[-1:] and w[-1] in _STOPS:
                 stem, stop = w[:-1], w[-1:]
-                for part in (stem, stop):
-                    if part not in known:
-                        known[part] = self._plain(part)
-                known[w] = known[stem] + known[stop]
+                ids = letters(stem)
+                if ids:  # a stop after a letter is a piece of its own
+                    if stop not in known:
+                        known[stop] = b"".join([self.as_bytes[t.id] for t in self.coder.model.tokenize(stop.decode())])
+                    known[stem] = ids
+                    known[w] = ids + known[stop]
+                    continue
+            ids = letters(w)
+            if ids:
+                known[w] = ids
             else:
                 rest.append(w)
         for lo in range(0, len(rest), AT_ONCE):
             part = rest[lo : lo + AT_ONCE]
             for w, e in zip(part, self.coder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
+                known[w] = b"".join([self.as_bytes[i] for i in e.ids])
         return [known[w] for w in words]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
