@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable
@@ -119,10 +120,27 @@ def potion(c: Column) -> Column:
     return _spaces(F.replace(F.replace(F.replace(t, F.lit("\n\n"), F.lit("¶")), F.lit("\n"), F.lit("·")), F.lit("\t"), F.lit("↦")))
 
 
+def _tabbed(text: str) -> str:
+    """:func:`spaces_to_tabs` in Python, for functions that are in Python anyway."""
+    lines = text.split("\n")
+    lead = [len(x) - len(x.lstrip(" ")) for x in lines]
+    width = math.gcd(*(n for n, x in zip(lead, lines) if n and x.strip() and not x.lstrip(" ").startswith("\t")))
+    return "\n".join("\t" * (n // width) + " " * (n % width) + x[n:] for n, x in zip(lead, lines)) if width else text
+
+
+@F.pandas_udf(T.StringType())
+def _plain_code(s: pd.Series) -> pd.Series:
+    """Repaired, line feeds squeezed, without combining marks, indented by tabs."""
+    def one(t: str) -> str:
+        t = unicodedata.normalize("NFKD", re.sub("\n{3,}", "\n\n", repair(t)))
+        return _tabbed("".join(c for c in t if unicodedata.category(c) != "Mn"))
+
+    return s.map(lambda t: None if t is None else one(t))
+
+
 @register_normalizer("potion-code")
 def potion_code(c: Column) -> Column:
-    t = spaces_to_tabs(strip_diacritics(squeeze_newlines(repaired(c))))
-    return F.replace(F.replace(t, F.lit("\n"), F.lit("¶")), F.lit("\t"), F.lit("↦"))
+    return F.replace(F.replace(_plain_code(c), F.lit("\n"), F.lit("¶")), F.lit("\t"), F.lit("↦"))
 
 
 @register_normalizer("ascii")
@@ -161,7 +179,7 @@ def register_tokenizer_normalizers(path: str) -> None:
     NORMALIZERS["ultrafine"] = tokenizer_normalizer(path, True, True, True)
     NORMALIZERS["hyperfine"] = tokenizer_normalizer(path, True, True)
     code = tokenizer_normalizer(path, False, True)
-    NORMALIZERS["hyperfine-code"] = lambda c: code(spaces_to_tabs(c))
+    NORMALIZERS["hyperfine-code"] = lambda c: code(_plain_code(c))
 
 
 def has_space_indentation(c: Column, sample: int = 4096) -> Column:

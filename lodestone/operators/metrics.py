@@ -74,8 +74,10 @@ def pearson(a: Column, b: Column) -> Column:
 
 def rank_correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """``n, pearson, spearman, kendall``: tau-b from the table of (a, b) counts, b having few values."""
-    x = _average_ranks(df, a).withColumnsRenamed({"value": a, "rank": "ra"})
-    y = _average_ranks(df, b).withColumnsRenamed({"value": b, "rank": "rb"})
+    df = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    a, b = "_a", "_b"
+    x = _average_ranks(df, a).select(F.col("value").alias(a), F.col("rank").alias("ra"))
+    y = _average_ranks(df, b).select(F.col("value").alias(b), F.col("rank").alias("rb"))
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
     ranked = cells.join(x, a).join(F.broadcast(y), b)
     n = F.col("n").cast("double")
