@@ -172,9 +172,9 @@ def count_tokens(spark, d):
     return table(spark, d, "documents").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).cast("long").alias("tokens"), F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("""SELECT quality, n, w / sum(w) OVER () AS weight FROM (SELECT quality, count(*) AS n, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM labels GROUP BY 1)""")
+@query("""SELECT quality, n, round(w / sum(w) OVER (), 9) AS weight FROM (SELECT quality, count(*) AS n, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM labels GROUP BY 1)""")
 def class_weights(spark, d):
-    return sampling.class_weights(table(spark, d, "labels"), "quality")
+    return sampling.class_weights(table(spark, d, "labels"), "quality").withColumn("weight", F.round("weight", 9))
 
 
 @query("SELECT doc_id, strip_accents(nfc_normalize(text)) AS text FROM documents")

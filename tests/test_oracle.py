@@ -2,13 +2,14 @@
 
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
 
 from lodestone.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
