@@ -135,7 +135,7 @@ class Model:
             keep |= {"s": s, "g": g, "a": a, "pooled": pooled, "traces": traces, "mask": mask}
         return (pooled @ p["c"] + p["d"])[:, 0]
 
-    def gradients(self, bag: Bag, x: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, bag: Bag, x: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: np.ndarray | None = None) -> dict[str, np.ndarray]:
         p, f = self.p, {}
         logit = self.forward(x, idx, f)
         ds = ((_sigmoid(logit) - y) * weight / len(y)).astype(np.float32)[:, None]
@@ -165,6 +165,8 @@ class Model:
         out["b"], out["W"] = flat.sum(0), x[at].T @ flat
         din = np.zeros_like(x)
         np.add.at(din, at, flat @ p["W"].T)
+        if hidden is not None:
+            din[hidden, :EMBED] = 0
         used = np.unique(at[at < len(bag)])
         ew, ec = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
         np.add.at(ew, bag.word[used], din[used, :EMBED])
@@ -208,7 +210,7 @@ def train(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, batch: int = 48
     share = np.bincount(w, weights=y[d], minlength=len(bag))
     whole = np.bincount(w, minlength=len(bag))
     model.p["Ec"][:, 0] = 0.5 * odds(np.bincount(bag.tri, weights=share[owner], minlength=TRIGRAMS), np.bincount(bag.tri, weights=whole[owner], minlength=TRIGRAMS))
-    weight = np.where(y == 1, np.sqrt((rows - toxic) / toxic), 1.0).astype(np.float32)
+    weight = np.ones(rows, np.float32)
     rng, step = np.random.default_rng(seed), 0
     m = {k: np.zeros_like(x) for k, x in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
@@ -217,11 +219,14 @@ def train(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, batch: int = 48
         order = rng.permutation(rows)
         for lo in range(0, rows, batch):
             pick = order[lo : lo + batch]
-            x = model.embedded(bag)[...] if step % 8 == 0 else x
+            if step % 8 == 0:
+                # Half of the words show their trigrams only, so the network learns stems, not a word list.
+                x, hidden = model.embedded(bag), np.flatnonzero(rng.random(len(bag)) < 0.5)
+                x[hidden, :EMBED] = 0
             idx, many, first = bag.windows(pick)
             logits = model.forward(x, idx)
             top = np.array([f + int(np.argmax(logits[f : f + n])) for f, n in zip(first.tolist(), many.tolist())])
-            grads = model.gradients(bag, x, idx[top], y[pick], weight[pick])
+            grads = model.gradients(bag, x, idx[top], y[pick], weight[pick], hidden)
             step += 1
             for k, w in model.p.items():
                 g = grads[k]
@@ -236,7 +241,8 @@ def sample(docs: DataFrame, labels: DataFrame, mod: int, max_docs: int) -> DataF
     y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     known = y.where(~crc_split(mod))
     by = [F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.col("doc_id")]
-    picked = known.where("y = 1").orderBy(*by).limit(max_docs // 2).unionByName(known.where("y = 0").orderBy(*by).limit(max_docs - max_docs // 2))
+    toxic = known.where("y = 1").orderBy(*by).limit(max_docs // 2)
+    picked = toxic.unionByName(known.where("y = 0").orderBy(*by).limit(max_docs - toxic.count()))
     return texts(docs).where(F.length("text") <= MAX_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
 
 
