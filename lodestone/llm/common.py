@@ -60,10 +60,19 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place below the shared folder."""
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    if not _made and spark.sparkContext.master.startswith("local"):
+        atexit.register(_sweep)
     _made.append(path)
     return path
 
 
+def _sweep() -> None:
+    """On one machine, what is left when the driver ends goes with it."""
+    for path in _made:
+        if path.startswith("file:///"):
+            shutil.rmtree(path.removeprefix("file://"), True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this session wrote to the shared folder; frames that read it end with that."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
