@@ -33,7 +33,7 @@ def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line occurrence that fuzzy line deduplication removes, with the occurrence that stays."""
-    gone = line_dedup.removed(line_dedup.keyed(table(spark, sf_dir, "documents", "doc_id", "text")))
+    gone = line_dedup.removed(line_dedup.keyed(table(spark, sf_dir, "documents", "doc_id", "text")), grams=True)
     return gone.select(F.col("_row.id").alias("doc_id"), F.col("pos").alias("line"), F.col("keeper._row.id").alias("kept_doc_id"), F.col("keeper.pos").alias("kept_line"), F.col("size").alias("group_size"))
 
 
