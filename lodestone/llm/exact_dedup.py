@@ -80,6 +80,16 @@ class Spilled:
     def add(self, key: bytes, least: int | None, count: int, members: list[int]) -> None:
         self.stream.write(_HEAD.pack(least or 0, count, least is None, len(key), len(members)) + key + np.array(members, "<i8").tobytes())
 
+    def drained(self, system) -> Iterator[tuple[bytes, int | None, int, list[int]]]:
+        """What was added; the file goes with it."""
+        self.stream.close()
+        with system.open_input_stream(self.path) as f:
+            while head := f.read(_HEAD.size):
+                least, count, null, size, n = _HEAD.unpack(head)
+                key = f.read(size)
+                yield key, None if null else least, count, np.frombuffer(f.read(8 * n), "<i8").tolist()
+        system.delete_file(self.path)
+
 
 class Trie:
     """A radix trie over byte strings within ``budget`` bytes; ``folder`` is where subtrees go beyond it."""
@@ -125,12 +135,14 @@ class Trie:
         return node
 
     @staticmethod
-    def walk(top: Node) -> Iterator[tuple[bytes, Node]]:
-        """Terminal nodes below ``top`` with the bytes from it."""
+    def walk(top: Node, spilled: bool = False) -> Iterator[tuple[bytes, Node]]:
+        """Terminal nodes below ``top`` with the bytes from it, and where ``spilled`` the subtrees on disk."""
         stack = [(b"", top)]
         while stack:
             prefix, node = stack.pop()
             if isinstance(node, Spilled):
+                if spilled:
+                    yield prefix, node
                 continue
             if node.members is not None:
                 yield prefix, node
@@ -147,7 +159,7 @@ class Trie:
         return out
 
     def spill(self) -> None:
-        """Move the largest subtree below the first fork to disk."""
+        """Move the largest subtree below the first fork to disk, with what is on disk below it."""
         top = self.root
         while len(top.children) == 1 and isinstance(only := next(iter(top.children.values())), Node):
             top = only
@@ -158,8 +170,14 @@ class Trie:
         system, root = place(self.folder)
         system.create_dir(root, recursive=True)
         out = Spilled(system, f"{root}/{uuid.uuid4().hex}", bytes([byte]))
-        for key, node in self.walk(child):
-            out.add((child.label + key)[1:], node.least, node.count, node.members)
+        for key, node in self.walk(child, spilled=True):
+            if isinstance(node, Spilled):
+                # Later copies of its texts will come to ``out``, so the earlier ones must be there too.
+                self.spills.remove(node)
+                for rest, *entry in node.drained(system):
+                    out.add((child.label + key)[1:] + rest, *entry)
+            else:
+                out.add((child.label + key)[1:], node.least, node.count, node.members)
         self.size -= self.weight(child)
         top.children[byte] = out
         self.spills.append(out)
@@ -169,17 +187,11 @@ class Trie:
         for _, node in self.walk(self.root):
             yield node
         self.root = Node(b"")
-        for s in self.spills:
-            s.stream.close()
         for s in self.spills:
             system, _ = place(self.folder)
             below = Trie(self.budget, self.folder)
-            with system.open_input_stream(s.path) as f:
-                while head := f.read(_HEAD.size):
-                    least, count, null, size, n = _HEAD.unpack(head)
-                    key = f.read(size)
-                    below.insert(key, None if null else least, count, np.frombuffer(f.read(8 * n), "<i8").tolist())
-            system.delete_file(s.path)
+            for entry in s.drained(system):
+                below.insert(*entry)
             yield from below.groups()
 
 

@@ -52,6 +52,30 @@ def test_trie_spills_subtrees_and_keeps_every_group(tmp_path):
         assert spilled == (budget == 4000)
 
 
+def test_copies_after_two_spills_at_different_depths_join_the_earlier_ones(tmp_path):
+    trie = E.Trie(4000, f"file://{tmp_path}")
+    keys = []
+
+    def put(key):
+        trie.insert(key, len(keys), 1, [len(keys)])
+        keys.append(key)
+
+    deep = [b"PPPa" + bytes([k]) * 50 for k in range(10)]
+    for key in [*deep, *(b"PPPb" + bytes([k]) * 50 for k in range(8))]:
+        put(key)
+    assert [s.label for s in trie.spills] == [b"a"]
+    put(b"Q" * 50)
+    for k in range(20):
+        put(b"PPPc" + bytes([k]) * 50)
+    assert isinstance(trie.root.children[ord("P")], E.Spilled)
+    for key in deep:
+        put(key)
+    got = [({keys[m] for m in n.members}, n.least, n.count) for n in trie.groups()]
+    want = collections.Counter(keys)
+    assert sorted(got, key=str) == sorted((({k}, keys.index(k), n) for k, n in want.items()), key=str)
+    assert not list(tmp_path.iterdir())
+
+
 def test_squeezed():
     for t in [b"", b" ", b"\n\t", b"a", b" a", b"a\n", b" a  b\x0b\x0cc ", "  x y\x1c".encode()]:
         assert E.squeezed(t) == re.sub(rb"[\x20\x09-\x0D]+", b" ", t)
