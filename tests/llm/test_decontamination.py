@@ -100,3 +100,12 @@ def test_clean_and_empty(spark, no_docs):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 6, 7, 8, 9, 11]
     assert D.contaminated(no_docs, items).collect() == []
     assert D.clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_names_in_another_case_or_line_and_texts_under_one_id(spark):
+    item, other = ITEMS[2], "another text of the same item that only one of the documents has inside"
+    items = spark.createDataFrame([(1, item), (1, other), (1, "a third text with that id that no document holds at all")], "item_id long, text string")
+    rows = [item.lower(), item.upper(), item.replace(" Bern", "\nBern").replace(" Basel", "\n  Basel"), item.replace(" Bern", "\nOslo").replace("60", "70"), other, item.replace("Bern", "rome").replace("Basel", "oslo")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.covered == r.windows, r.reparameterised) for r in D.contaminated(docs, items).collect()}
+    assert got == {0: (1, True, False), 1: (1, True, False), 2: (1, True, False), 3: (1, True, True), 4: (1, True, False)}
