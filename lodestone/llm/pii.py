@@ -2,8 +2,9 @@ r"""Personal data by fixed patterns, and more of it by bootstrapped contextual e
 
 DataFrame functions only. The fixed patterns find e-mail addresses, IP addresses, card numbers
 (Luhn) and phone numbers, leftmost and non-overlapping for each kind. Those are the seeds. Number-like
-and address-like strings that the fixed patterns do not accept are candidates; a candidate and a seed
-have lexical patterns: the two words before, and the word before with the word after. Patterns and
+and address-like strings that overlap no seed are candidates; a candidate and a seed
+have lexical patterns: the two words before, and the word before with the word after (letters and digits;
+punctuation between them does not count). Patterns and
 instances (distinct values) form a graph which is scored in rounds:
 
     confidence of a pattern for a kind = sum of its instances' scores for the kind / its instances
@@ -33,7 +34,8 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NUMBER = r"[+(]{0,2}[0-9](?:[\x20().:-]{0,2}[0-9]){3,}+"
-ADDRESS = r"[^\s@]{1,64}(?:@|\(at\)|\[at\])[^\s@]{1,64}"
+#: Begins and ends with a letter or digit, so punctuation around an address is no part of it.
+ADDRESS = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}\x20?(?:@|\(at\)|\[at\])\x20?[\p{L}\p{N}](?:[\p{L}\p{N}.-]{0,62}[\p{L}\p{N}])?"
 ROUNDS = 3
 SUPPORT = 3.0
 TRUST = 0.6
@@ -84,26 +86,33 @@ _DIGIT, _AT = "text rlike '[0-9]'", "contains(text, '@')"
 _GATE = {"email": _AT, "ip": _DIGIT, "card": _DIGIT, "phone": f"({_DIGIT} and contains(text, '+'))"}
 
 
+def _patterns(x: str) -> str:
+    """SQL of the lexical patterns of a span ``x`` (before, after)."""
+    word = rf"regexp_extract({x}.before, '([\\p{{L}}\\p{{N}}]+)[^\\p{{L}}\\p{{N}}]*$', 1)"
+    two = rf"regexp_extract({x}.before, '([\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]+[\\p{{L}}\\p{{N}}]+)[^\\p{{L}}\\p{{N}}]*$', 1)"
+    after = rf"regexp_extract({x}.after, '^[^\\p{{L}}\\p{{N}}]*([\\p{{L}}\\p{{N}}]+)', 1)"
+    both = rf"if({two} = '', null, concat('2 ', lower(regexp_replace({two}, '[^\\p{{L}}\\p{{N}}]+', ' '))))"
+    around = f"if({word} = '' or {after} = '', null, concat('1 ', lower({word}), ' _ ', lower({after})))"
+    return f"filter(array({both}, {around}), p -> p is not null)"
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, base``: base has an array of valid spans for each kind."""
-    each = ", ".join(f"transform(filter({located(p, _GATE[k])}, x -> {VALID[k]}), x -> struct(x.start as start, x.end as end)) as {k}" for k, p in KINDS.items())
+    """``doc_id, text, base``: base has an array of valid spans for each kind, with what stands around them."""
+    each = ", ".join(f"filter({located(p, _GATE[k], True)}, x -> {VALID[k]}) as {k}" for k, p in KINDS.items())
     return texts(docs).withColumn("base", F.expr(f"struct({each})"))
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """``doc_id``, the base spans by kind, and the array ``found`` of seeds and candidates."""
+    """``doc_id``, the base spans by kind, and the array ``found`` of seeds (all base spans) and candidates."""
     odd = f"({_AT} or contains(text, '(at)') or contains(text, '[at]'))"
-    same = " ".join(f"when exists(k.{k}, s -> s.start = x.start and s.end = x.end) then '{k}'" for k in KINDS)
     overlap = " or ".join(f"exists(k.{k}, s -> s.start < x.end and x.start < s.end)" for k in KINDS)
-    kind = f"case {same} when {overlap} then 'part' end"
-    word = r"regexp_extract(x.before, '(\\S+)\\s*$', 1)"
-    two = r"regexp_extract(x.before, '(\\S+\\s+\\S+)\\s*$', 1)"
-    after = r"regexp_extract(x.after, '^\\s*(\\S+)', 1)"
-    patterns = rf"filter(array(if({two} = '', null, concat('2 ', lower(regexp_replace({two}, '\\s+', ' ')))), if({word} = '' or {after} = '', null, concat('1 ', lower({word}), ' _ ', lower({after})))), p -> p is not null)"
-    loose = f"concat({located(NUMBER, _DIGIT, True)}, {located(ADDRESS, odd, True)})"
-    found = f"filter(transform({loose}, x -> struct({kind} as kind, x.start as start, x.end as end, x.value as value, {patterns} as patterns)), c -> c.kind is null or c.kind <> 'part')"
-    out = df.withColumn("found", F.expr(let("base", "k", found)))
-    return out.select("doc_id", *(F.col(f"base.{k}").alias(k) for k in KINDS), "found")
+    shaped = lambda kind: f"struct({kind} as kind, x.start as start, x.end as end, x.value as value, {_patterns('x')} as patterns)"
+    loose = f"filter(concat({located(NUMBER, _DIGIT, True)}, {located(ADDRESS, odd, True)}), x -> not ({overlap}))"
+    own = [f"transform(k.{k}, x -> {shaped(repr(k))})" for k in KINDS]
+    unknown = shaped("cast(null as string)")
+    df = df.withColumn("found", F.expr(let("base", "k", f"concat({', '.join(own)}, transform({loose}, x -> {unknown}))")))
+    spans = lambda k: F.expr(f"transform(base.{k}, x -> struct(x.start as start, x.end as end))").alias(k)
+    return df.select("doc_id", *(spans(k) for k in KINDS), "found")
 
 
 def bootstrapped(found: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:

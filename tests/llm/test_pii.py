@@ -69,3 +69,23 @@ def test_contexts_find_unseen_identifiers(spark):
 
 def test_empty_table(no_docs):
     assert pii.personal_data(no_docs).collect() == []
+
+
+def test_punctuation_around_seeds_and_unseen_identifiers(spark):
+    """Seeds before commas and in brackets count; 60 planted identifiers that no base pattern takes."""
+    rows = [(i, f"Please write to user{i}@site.org, thanks for {i % 7} days.") for i in range(60)]
+    rows += [(100 + i, f"Call the office (on +1 202 555 {1000 + i}), or wait.") for i in range(60)]
+    planted = {}
+    for i in range(30):
+        text = f"Then please write to name{i}(at)home{i}.org, thanks."
+        planted[200 + i] = ("email", text.index("name"), text.index(", thanks"))
+        rows.append((200 + i, text))
+        text = f"Call the office (on 0{300 + i} 44 55 {10 + i}), or wait."
+        planted[300 + i] = ("phone", text.index("(on") + 4, text.index("), or"))
+        rows.append((300 + i, text))
+    clean = [(400 + i, f"In {1900 + i} some {1000 * i + 12345} people came at {i}:30 to see it (on day {i}), or left it.") for i in range(40)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    hit = [i for i, (kind, a, b) in planted.items() if got[i].spans == f"{kind}:{a}:{b}"]
+    assert len(hit) >= 0.9 * len(planted)
+    assert all(got[i].n_added == 0 for i in got if i not in planted)
