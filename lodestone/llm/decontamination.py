@@ -4,7 +4,7 @@ Numbers, the units after them and names (capitalised inside a sentence) become t
 everything else is lower-cased letters and digits. Windows of ``WINDOW`` template tokens of the
 documents are hash-joined with those of the benchmark items. Matches that lie on one diagonal
 (document position minus item position) form an alignment, and an alignment counts only if its slots
-are consistent: each value of the item stands for one value of the document and the other way round.
+are consistent: each value of the item stands for one value of the document (different ones may become equal).
 A document is contaminated by an item when the windows of consistent alignments cover ``COVERAGE``
 of the item's different windows. Windows with names are compared as plain words too, so a copy in another
 case, where names do not show, is found. Slots that differ throughout mark a re-parameterised copy.
@@ -98,8 +98,9 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.first("n").alias("n"), F.collect_set("id").alias("hits"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    one_to_one = (distinct("i") == F.size("pairs")) & (distinct("d") == F.size("pairs"))
-    return lines.withColumn("consistent", one_to_one)
+    # Different values of an item may become one value; one value never becomes two.
+    one_each = distinct("i") == F.size("pairs")
+    return lines.withColumn("consistent", one_each)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -1,13 +1,13 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages (all of it, none left out). Each passage is encoded by shares of
-what its bytes and words look like, then by one tanh layer; gated attention learned from document
+A document is a bag of passages (all of it, none left out). Each passage is encoded by its hashed words
+and by shares of what its bytes and words look like, then by one tanh layer; gated attention learned from document
 labels alone weighs the passages, and a logistic layer scores the weighted representation:
 
     h_k = tanh(W x_k + b)      a = softmax(v (tanh(V h) * sigmoid(U h)))      score = sigmoid(c sum a_k h_k + d)
 
-Trained in numpy on the driver over a bounded sample of labelled documents (``MAX_DOCS``, and of
-those at most ``MAX_PASSAGES`` passages each; scoring has no such bounds). Texts are the only input
+Trained in numpy on the driver over a bounded sample of labelled documents (``MAX_DOCS``, whole
+documents; scoring has no such bound). Texts are the only input
 of a score.
 
 A null or empty text is one empty passage. Without labels (or with one class) the score is the
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import batched, crc_split, texts
 
 MAX_DOCS = 4_000
-MAX_PASSAGES = 48
 PASSAGE_BYTES = 512
 HIDDEN = 24
 GATE = 12
@@ -41,11 +40,13 @@ for _kind, _chars in ((6, b".,;:"), (7, b"!?"), (8, b"#$%&*@^~"), (9, b"|<>{}[]\
     _CLASS[list(_chars)] = _kind
 _CLASS[9:14] = 1
 KINDS = 11
-N_FEATURES = KINDS * KINDS + KINDS + 7
+#: Bins into which a passage's words are hashed.
+LEXICAL = 64
+N_FEATURES = KINDS * KINDS + KINDS + LEXICAL + 7
 
 
 def features(data: bytes) -> np.ndarray:
-    """One row a passage: shares of byte classes and of neighbouring classes, and how words repeat."""
+    """One row a passage: shares of byte classes and of neighbouring classes, how words repeat, and shares of hashed words."""
     a = np.frombuffer(data, np.uint8)
     n = max(1, -(-len(a) // PASSAGE_BYTES))
     x = np.zeros((n, N_FEATURES), np.float32)
@@ -80,6 +81,8 @@ def features(data: bytes) -> np.ndarray:
         x[:, k + 3] = np.bincount(own, weights=(kind[ends - 1] == 8), minlength=n) / safe
         x[:, k + 4] = np.bincount(own, weights=(kind[ends - 1] == 7), minlength=n) / safe
         x[:, k + 5] = np.bincount(own, weights=(kind[starts] == 9) & (ends - starts == 1), minlength=n) / safe
+        bins = ((word * 40503) >> 7) % LEXICAL
+        x[:, k + 6 : k + 6 + LEXICAL] = np.bincount(own * LEXICAL + bins, minlength=n * LEXICAL).reshape(n, LEXICAL) / safe[:, None]
     x[:, -1] = min(1.0, len(a) / 5000)
     return x
 
@@ -176,10 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, max_docs: int = MAX_DO
         for batch in batches:
             out = []
             for text in batch.column(1):
-                x = features(text.as_py().encode())
-                if len(x) > MAX_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MAX_PASSAGES).astype(int)]
-                out.append(x.astype(np.float16).tobytes())
+                out.append(features(text.as_py().encode()).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(out, pa.binary())], schema=shape)
 
     rows = batched(sample(docs, labels, "quality", mod, max_docs)).mapInArrow(run, "doc_id long, y int, x binary").toArrow().sort_by("doc_id").to_pylist()

@@ -36,7 +36,8 @@ TRIGRAMS = 1 << 14
 EMBED = 8
 HIDDEN = 12
 GATE = 12
-EPOCHS = 8
+#: Gradient steps, whatever the number of rows.
+STEPS = 500
 SEED = 23
 _TRIM = ".,;:!?\"'()[]*#%&$|"
 
@@ -188,7 +189,7 @@ class Model:
         return _sigmoid(np.maximum.reduceat(logits, first).astype(np.float64))
 
 
-def train(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, batch: int = 48, rate: float = 4e-3, seed: int = SEED) -> Model:
+def train(column: pa.Array, y: np.ndarray, steps: int = STEPS, batch: int = 48, rate: float = 4e-3, seed: int = SEED) -> Model:
     """Adam on the highest window of each document."""
     model, y = Model(seed), np.asarray(y, np.float32)
     if not len(y) or y.min() == y.max():
@@ -214,10 +215,11 @@ def train(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, batch: int = 48
     rng, step = np.random.default_rng(seed), 0
     m = {k: np.zeros_like(x) for k, x in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
-    epochs = max(epochs, -(-epochs * 1000 // rows))
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(rows)
         for lo in range(0, rows, batch):
+            if step == steps:
+                break
             pick = order[lo : lo + batch]
             if step % 8 == 0:
                 # Half of the words show their trigrams only, so the network learns stems, not a word list.
@@ -237,13 +239,17 @@ def train(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, batch: int = 48
 
 
 def sample(docs: DataFrame, labels: DataFrame, mod: int, max_docs: int) -> DataFrame:
-    """At most ``max_docs`` labelled documents that are not held out, half of them toxic at most; the same at every run."""
+    """At most ``max_docs`` labelled documents that are not held out, half of them toxic at most; the same at every run.
+
+    They are chosen among the documents of at most MAX_CHARS characters.
+    """
     y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    known = y.where(~crc_split(mod))
+    fit = texts(docs).where(F.length("text") <= MAX_CHARS)
+    known = y.where(~crc_split(mod)).join(fit.select("doc_id"), "doc_id", "left_semi")
     by = [F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.col("doc_id")]
     toxic = known.where("y = 1").orderBy(*by).limit(max_docs // 2)
     picked = toxic.unionByName(known.where("y = 0").orderBy(*by).limit(max_docs - toxic.count()))
-    return texts(docs).where(F.length("text") <= MAX_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    return fit.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, max_docs: int = MAX_DOCS) -> Model:

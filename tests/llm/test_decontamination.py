@@ -109,3 +109,12 @@ def test_names_in_another_case_or_line_and_texts_under_one_id(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: (r.item_id, r.covered == r.windows, r.reparameterised) for r in D.contaminated(docs, items).collect()}
     assert got == {0: (1, True, False), 1: (1, True, False), 2: (1, True, False), 3: (1, True, True), 4: (1, True, False)}
+
+
+def test_different_values_may_become_equal(spark):
+    item = "we know that Alice has 3 apples and buys 5 pears at the market every week of the year"
+    rows = [item.replace("Alice", "Bob").replace("3", "4").replace("5", "4"), item.replace("3", "9").replace("5", "6") + " and then " + item.replace("5", "7")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "we saw that 3 men and then 3 women came to see it in the end of the year")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in D.contaminated(docs, items).collect()}
+    assert {(d, i) for d, i, _ in got} == {(0, 1), (1, 1)} and (0, 1, True) in got
