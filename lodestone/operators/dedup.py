@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +14,38 @@ _GOLDEN = 0x9E3779B97F4A7C15
 def signatures(df: DataFrame, key: str, text: str, shingle: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
     """``key, band, h``: the hash of each band of the MinHash of word shingles; texts without words have none."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        # A small table in few files: a text becomes hundreds of rows, so its rows are dealt out first.
+        df = df.select(key, text).repartition(cores)
     base = df.select(key, words.alias("w")).where(F.size("w") > 0)
     base = base.select(key, F.explode(F.expr(f"array_distinct(transform(sequence(0, greatest(size(w) - {shingle}, 0)), i -> xxhash64(array_join(slice(w, i + 1, {shingle}), ' '))))")).alias("x"))
-    n = bands * rows
-    # A permutation of 64 bits: multiply by an odd number and fold; the smallest of each over all shingles.
-    mixed = lambda i: F.xxhash64(F.col("x"), F.lit((_GOLDEN * (2 * i + 1)) % (1 << 63)))
-    mins = base.groupBy(key).agg(*(F.min(mixed(i)).alias(f"m{i}") for i in range(n)))
-    each = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(f"m{b * rows + r}" for r in range(rows))).alias("h")) for b in range(bands)))
-    return mins.select(key, F.explode(each).alias("b")).select(key, "b.band", "b.h")
+    # Bands are aggregated a few at a time under a group number: more columns than Spark generates code for would be interpreted.
+    some = max(1, min(bands, 25 // rows))
+    groups = -(-bands // some)
+    base = base.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    # A permutation of 64 bits: a hash seeded by an odd multiple; the smallest of each over all shingles.
+    mixed = lambda i: F.xxhash64(F.col("x"), F.lit((_GOLDEN * (2 * i + 1)) % (1 << 63)), F.col("_g"))
+    mins = base.groupBy(key, "_g").agg(*(F.min(mixed(i)).alias(f"_m{i}") for i in range(some * rows)))
+    each = F.array(*(F.struct((F.col("_g") * some + b).alias("band"), F.xxhash64(*(f"_m{b * rows + r}" for r in range(rows))).alias("h")) for b in range(some)))
+    return mins.select(key, F.explode(each).alias("b")).select(key, "b.band", "b.h").where(F.col("band") < bands)
+
+
+def _shared_checkpoints(spark) -> None:
+    """Checkpoints go to the folder the cluster names; only on one machine may it be a local one."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-checkpoints-"))
 
 
 def links(df: DataFrame, key: str, text: str, **shape: int) -> DataFrame:
     """``a, b``: each document with the smallest of its bucket; a bucket of n gives n - 1 links, never pairs."""
-    s = signatures(df, key, text, **shape)
+    # Both sides of the join below read the written signatures.
+    _shared_checkpoints(df.sparkSession)
+    s = signatures(df, key, text, **shape).checkpoint()
     stars = s.groupBy("band", "h").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1")
     return s.join(stars.select("band", "h", "a"), ["band", "h"]).where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b")).distinct()
 
@@ -46,8 +67,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def deduplicate(df: DataFrame, key: str, text: str, **shape: int) -> DataFrame:
     """One row of each group of near duplicates: the smallest key."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/lodestone-checkpoints"))
+    _shared_checkpoints(df.sparkSession)
     gone = components(links(df, key, text, **shape)).where("node <> component").select(F.col("node").alias(key))
     return df.join(gone, key, "left_anti")
