@@ -44,11 +44,11 @@ def expression_language(spark, d):
     return df.select("doc_id", c('if .quality < 1 then "low" elif .toxic > 0 then "mixed" else "high" end', df).alias("tier"), c("[.quality // 0, .toxic // 0] | max", df).alias("top"), c(".text | length", df).alias("size"), c(".quality // -1", df).cast("int").alias("q"), c(".quality + .n_chars * 2.0", df).alias("mix"))
 
 
-@query(f"SELECT doc_id, {ws('substr(text, 1, 2000)')} AS text, trim(lower(regexp_replace(regexp_replace(source || ' A', '^__label__', ''), '\\s+', '_', 'g'))) AS source FROM documents")
+@query(f"SELECT doc_id, {ws('text')} AS text, trim(lower(regexp_replace(regexp_replace(source || ' A', '^__label__', ''), '\\s+', '_', 'g'))) AS source FROM documents")
 def normalize_rows(spark, d):
     """Text and label normalised in place."""
     df = table(spark, d, "documents").select("doc_id", "text", F.concat("source", F.lit(" A")).alias("source"))
-    return rows.normalize_rows(df, "whitespace", "text", "source", 2000)
+    return rows.normalize_rows(df, "whitespace", "text", "source")
 
 
 @query(f"""SELECT doc_id, '__label__' || trim(lower(lang)) || ' ' || {ws("regexp_replace(text || ' __label__odd word', '__label__(\\S+)', '\\1', 'g')")} AS value FROM documents""")

@@ -114,15 +114,15 @@ def vector_classifier(spark, d):
     return model.transform(df.where("split = 'test'")).select("vec_id", "label", F.col("_k").cast("int").alias("predicted"))
 
 
-_TOK = "(SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM documents) WHERE length(token) = 3 GROUP BY ALL)"
-_VEC = "(SELECT token, ord(token[1]) / 128.0 AS a, ord(token[3]) / 128.0 AS b FROM (SELECT DISTINCT token FROM t))"
+_TOK = "(SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM documents) WHERE token <> '' GROUP BY ALL)"
+_VEC = "(SELECT token, ord(token[1]) / 128.0 AS a, ord(right(token, 1)) / 128.0 AS b FROM (SELECT DISTINCT token FROM t))"
 
 
 @query(f"WITH t AS {_TOK}, v AS {_VEC} SELECT doc_id, round(sum(a * n) / sum(n), 9) AS a, round(sum(b * n) / sum(n), 9) AS b FROM t JOIN v USING (token) GROUP BY 1")
 def pooled_embeddings(spark, d):
     """Mean of token vectors, a join on the token."""
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).where("length(token) = 3")
-    v = t.select("token").distinct().select("token", F.array(F.ascii("token") / 128.0, F.ascii(F.substring("token", 3, 1)) / 128.0).alias("vector"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).where("token <> ''")
+    v = t.select("token").distinct().select("token", F.array(F.ascii("token") / 128.0, F.ascii(F.substring("token", -1, 1)) / 128.0).alias("vector"))
     return models.pooled_embeddings(t, v, "doc_id").select("doc_id", F.round(F.col("pooled")[0], 9).alias("a"), F.round(F.col("pooled")[1], 9).alias("b"))
 
 

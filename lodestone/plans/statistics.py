@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import compare, stats
 from lodestone.plans.registry import query
-from lodestone.plans.tables import GRADE, OTHER, table
+from lodestone.plans.tables import GRADE, OTHER, labelled, table
 
 
 def pairs(spark, d):
@@ -17,14 +17,13 @@ _P = f"(SELECT sha256(doc_id::VARCHAR) AS key_hash, {GRADE} AS l1, {OTHER} AS l2
 
 
 def sides(spark, d):
-    df = table(spark, d, "documents")
-    a = compare.last_by_key(df.where("doc_id % 5 <> 0"), F.col("doc_id") % 700, F.expr(GRADE), F.col("doc_id"))
-    b = compare.last_by_key(df.where("doc_id % 7 <> 0"), F.col("doc_id") % 700, F.expr(OTHER), F.col("doc_id"))
+    a = compare.last_by_key(table(spark, d, "documents"), F.col("doc_id"), F.expr(GRADE), F.col("doc_id"))
+    b = compare.last_by_key(table(spark, d, "labels"), F.col("doc_id"), F.col("quality"), F.col("doc_id"))
     return a, b
 
 
-_A = f"(SELECT doc_id % 700 AS k, arg_max({GRADE}, doc_id) AS v FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1)"
-_B = f"(SELECT doc_id % 700 AS k, arg_max({OTHER}, doc_id) AS v FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1)"
+_A = f"(SELECT doc_id AS k, {GRADE} AS v FROM documents)"
+_B = "(SELECT doc_id AS k, quality AS v FROM labels)"
 
 
 @query(f"SELECT sha256(a.k::VARCHAR) AS key_hash, a.v AS l1, b.v AS l2 FROM {_A} a JOIN {_B} b USING (k)")
@@ -73,12 +72,14 @@ def first_disagreements(spark, d):
     return compare.first_disagreements(pairs(spark, d))
 
 
-_DA, _DB = "(SELECT *, doc_id % 900 AS k, n_chars // 10 AS v FROM documents)", "(SELECT *, doc_id % 900 AS k, n_chars // 10 + (doc_id % 4 = 1)::INT AS v FROM documents WHERE doc_id % 3 <> 0)"
+_DA, _DB = "(SELECT *, doc_id AS k, n_chars // 10 AS v FROM documents)", "(SELECT documents.*, doc_id AS k, n_chars // 10 + toxic AS v FROM documents JOIN labels USING (doc_id))"
 
 
 def _versions(spark, d):
-    df = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 900)
-    return df.withColumn("v", F.expr("n_chars div 10")), df.where("doc_id % 3 <> 0").withColumn("v", F.expr("n_chars div 10 + if(doc_id % 4 = 1, 1, 0)"))
+    """All documents with a value, and those with labels, where some values are other ones."""
+    a = table(spark, d, "documents").withColumn("k", F.col("doc_id"))
+    b = labelled(spark, d).withColumn("k", F.col("doc_id"))
+    return a.withColumn("v", F.expr("n_chars div 10")), b.withColumn("v", F.expr("n_chars div 10 + toxic"))
 
 
 @query(f"""WITH a AS (SELECT k, max(doc_id) AS i, arg_max(v, doc_id) AS v FROM {_DA} GROUP BY 1), b AS (SELECT k, max(doc_id) AS i, arg_max(v, doc_id) AS v FROM {_DB} GROUP BY 1)

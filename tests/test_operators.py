@@ -218,3 +218,21 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(60)
     assert [r.text for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["a b"]
     assert T.StringType() == spark.read.parquet(f"file://{tmp_path}/out").schema["text"].dataType
+
+
+def test_last_write_wins(spark):
+    """Repeated keys on either side, keys on one side only, null keys and null values."""
+    one = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (2, 20, 2), (3, None, 3), (4, 40, 4), (None, 1, 5)], "k int, v int, at int")
+    two = spark.createDataFrame([(1, 10, 0), (2, 21, 1), (2, 20, 2), (3, 30, 3), (5, 50, 4)], "k int, v int, at int")
+    got = {(r.key, r.value1, r.value2, r.row1["at"], r.row2["at"]) for r in compare.keyed_diff(one, two, "k", "v", "at").collect()}
+    assert got == {("1", 11, 10, 1, 0), ("3", None, 30, 3, 3)}
+    assert tuple(compare.diff_statistics(one, two, "k", "v", "at").first())[:4] == (1, 1, 3, 2)
+    sides = [compare.last_by_key(df, F.col("k"), F.col("v"), F.col("at")) for df in (one, two)]
+    assert tuple(compare.coverage(*sides).first()) == (1, 1, 3)
+    assert {(r.l1, r.l2) for r in compare.paired(*sides).collect()} == {(11, 10), (20, 20), (None, 30)}
+
+
+def test_cut_text_is_a_parameter(spark):
+    df = spark.createDataFrame([("a  b" * 1000, "X Y")], "text string, label string")
+    assert len(rows.normalize_rows(df, "whitespace", "text", "label", 10).first().text) < 10
+    assert len(rows.normalize_rows(df, "whitespace", "text", "label").first().text) == 3000
