@@ -1,24 +1,27 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
 
 Tokens are white-space-free words after lower-casing A-Z, then one end token a document; the end
-token is also the history of a document's first token. Training documents give counts of words and
-of (history, word) pairs over the whole corpus:
+token is also the history of a document's first token. With h the last words of a history, at most
+``order`` - 1 of them and none before the document, and h' the same without its first word:
 
     P(w)      = d1(c(w)) c(w) / N,   the mass left over is P(unknown)
-    P(w | h)  = d2(c(hw)) c(hw) / c(h)   if c(hw) > 0, else alpha(h) P(w);   P(w) if c(h) = 0
-    alpha(h)  = (1 - sum of seen P(w | h)) / (1 - sum of seen P(w))
+    P(w | h)  = dn(c(hw)) c(hw) / c(h)   if c(hw) > 0, else alpha(h) P(w | h');   P(w | h') if c(h) = 0
+    alpha(h)  = (1 - sum of seen P(w | h)) / (1 - sum of P(w | h') of the same words)
 
-so every history's probabilities sum to one over the vocabulary and one unknown word. Counts up to
-``K`` are discounted by Good-Turing with Katz's correction; where count-of-counts allow no discount
-in (0, 1), r - 0.5 over r takes its place, and a history (or the unigrams) that would keep no mass
-for backoff gets one more in its denominator.
+so every history's probabilities sum to one over the vocabulary and one unknown word. A token is
+evaluated from its own count upwards, order by order. Counts up to ``K`` are discounted by Good-Turing
+with Katz's correction, for each order; where count-of-counts allow no discount in (0, 1), r - 0.5 over
+r takes its place, and a history (or the unigrams) that would keep no mass for backoff gets one more in
+its denominator.
 
 The tables are kept in parts by hash. Documents stand in blocks with local dictionaries (see
-``blocks``), and a block sends each target part its own distinct words or pairs as one packed row;
-the part adds up the counts, and answers each block in the order it asked. A pair's part is chosen
-by its history, and by its word too where the history is frequent, so no history fills a part. What
-is gathered grows with the corpus: nothing is pruned, sampled or capped, and the driver sees only
-the totals and the counts of counts up to K + 1.
+``blocks``), and a block sends each target part its own distinct words as one packed row; the part adds
+up the counts, numbers the words and answers each block in the order it asked. So it goes on order by
+order: an n-gram is its history's id and its last word's, and its part is its history's, and by its word
+too where the history is frequent, so no history fills a part. Sums of a history that stands in one part
+are taken there; those of the frequent ones are added up over the parts. What is gathered grows with the
+corpus: nothing is pruned, sampled or capped, and the driver sees only totals and counts of counts up to
+K + 1.
 
 A null text counts as empty (its end token alone). Without training documents every word is
 unknown. Repeated rows count as they stand; other columns are ignored.
@@ -38,10 +41,13 @@ from lodestone.llm.blocks import make_blocks, read_head
 from lodestone.llm.common import n_targets, narrow, pack, texts, unpack, unpack_words, written
 
 K = 5
+ORDER = 3
 #: The end token; no word holds a space.
 END = b" "
-#: Occurrences of a history beyond which its pairs are spread over more parts.
+#: Occurrences of a history beyond which its n-grams are spread over more parts.
 SPREAD = 1 << 20
+#: Characters of input for each part of the tables.
+PART_CHARS = 32 << 20
 _ROW = pa.schema([("block", pa.int64()), ("target", pa.int32()), ("data", pa.binary())])
 ROW = "block long, target int, data binary"
 
@@ -78,20 +84,21 @@ def discounts(counts: list[int], k: int = K) -> np.ndarray:
 
 @dataclass
 class Totals:
-    """What the driver knows of the model."""
+    """What the driver knows of the model; ``d[n]`` are the discounts of order n."""
 
     tokens: int
     types: int
-    d1: np.ndarray
-    d2: np.ndarray
     unigram_denominator: float
     unknown: float
+    d: dict[int, np.ndarray]
+
+    def discounted(self, n: int, c: np.ndarray) -> np.ndarray:
+        """Counts of order ``n`` after the discount."""
+        return np.append(self.d[n], 1.0)[np.minimum(c, K + 1).astype(np.int64)] * c
 
     def p1(self, c: np.ndarray) -> np.ndarray:
         """P(w) by its training count; 0 is the unknown word."""
-        r = np.minimum(c, len(self.d1)).astype(np.int64)
-        d = np.append(self.d1, 1.0)[r]
-        return np.where(c > 0, d * c / self.unigram_denominator, self.unknown)
+        return np.where(c > 0, self.discounted(1, c) / self.unigram_denominator, self.unknown)
 
 
 def _answers(group: pa.Table, data: list[bytes]) -> pa.Table:
@@ -165,51 +172,206 @@ def _words(answers: list[tuple[int, bytes]], targets: int) -> tuple[np.ndarray,
     return np.concatenate(ids), np.concatenate(counts)
 
 
-def _pairs(head: list[np.ndarray], ids: np.ndarray, train: np.ndarray, counts: np.ndarray, end: int, targets: int):
-    """A block's distinct (history, word) pairs dealt to parts.
+@dataclass
+class Tokens:
+    """A block's tokens: documents, local words, and each token's place in its document."""
+
+    doc_ids: np.ndarray
+    null: np.ndarray
+    held: np.ndarray
+    sizes: np.ndarray
+    first: np.ndarray
+    codes: np.ndarray
+    place: np.ndarray
 
-    Returns (pair keys, training count, the word's count, part, each token's pair), sorted by part and key.
-    """
-    _, _, sizes, codes = head
+
+def _tokens(head: list[np.ndarray], mod: int) -> Tokens:
+    doc_ids, null, sizes, codes = head
     sizes, codes = sizes.astype(np.int64), codes.astype(np.int64)
-    word = ids[codes]
-    if int(ids.max(initial=0)) >> 32:
-        raise OverflowError("more than 2**32 words: raise the width of pair keys")
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[np.cumsum(sizes) - sizes] = end
-    key = (history.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-    distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    weight = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=len(distinct)).astype(np.int64)
-    h, w = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    by_id = np.argsort(ids, kind="stable")
-    place = np.minimum(np.searchsorted(ids[by_id], h), max(len(ids) - 1, 0))
-    frequency = counts[by_id][place] if len(ids) else np.zeros(0, np.int64)
-    part = (h * 2654435761 + w % (1 + frequency // SPREAD) * 40503) % (2**31) // 7 % targets
-    order = np.argsort(part, kind="stable")
+    first = np.cumsum(sizes) - sizes
+    return Tokens(doc_ids, null.astype(bool), held_out(doc_ids, null, mod), sizes, first, codes, np.arange(len(codes)) - np.repeat(first, sizes))
+
+
+@dataclass
+class Grams:
+    """A block's different n-grams of one order, by part, history and word; and which one each token ends (-1: none).
+
+    ``ids``, ``counts``, ``denominators`` and ``alphas`` (of those not seen) are known once the parts have answered.
+    """
+
+    at: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    denominators: np.ndarray
+    alphas: np.ndarray | None = None
+
+
+def _asked(t: Tokens, n: int, words: Grams, lower: Grams, targets: int, spread: int):
+    """The n-grams of a block whose history was seen in training: ``at, part, history, word, weight,
+    history's count, count and denominator of the n-gram without its first word``."""
+    if n == 2:
+        before = np.empty_like(t.codes)
+        before[1:] = t.codes[:-1]
+        # The end token's place in this block; every document has one.
+        before[t.first] = t.codes[t.first + t.sizes - 1]
+    else:
+        before = np.full(len(t.codes), -1)
+        before[1:] = lower.at[:-1]
+        before[t.place < n - 2] = -1
+    asks = np.flatnonzero(before >= 0)
+    asks = asks[lower.counts[before[asks]] > 0]
+    key = before[asks] * len(words.ids) + t.codes[asks]
+    distinct, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+    weight = np.bincount(inverse, weights=np.repeat(~t.held, t.sizes)[asks], minlength=len(distinct)).astype(np.int64)
+    past, own = before[asks][one], t.codes[asks][one]
+    tail = lower.at[asks][one]
+    h, w, often = lower.ids[past], words.ids[own], lower.counts[past]
+    part = (h % targets + w % (1 + often // spread) * 40503) % targets
+    order = np.lexsort((w, h, part))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return distinct[order], weight[order], counts[codes[first]][order], part[order], rank[inverse]
+    at = np.full(len(t.codes), -1)
+    at[asks] = rank[inverse]
+    return at, *(x[order] for x in (part, h, w, weight, often, lower.counts[tail], lower.denominators[tail]))
+
+
+def _answered(at: np.ndarray, rows: list[tuple[int, bytes]], targets: int) -> Grams:
+    """The block's n-grams with what the parts know of them."""
+    ids, counts, denominators, alphas = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for target, data in rows:
+        step, c, d, a = unpack(data)
+        ids.append(np.cumsum(step, dtype=np.int64) * targets + target)
+        counts.append(c.astype(np.int64))
+        denominators.append(d.astype(np.int64))
+        alphas.append(a)
+    c = np.concatenate(counts)
+    alpha = np.ones(len(c))
+    alpha[c == 0] = np.concatenate(alphas)
+    return Grams(at, np.concatenate(ids), c, np.concatenate(denominators), alpha)
+
+
+def _known(head: list[np.ndarray], answers: list[list[tuple[int, bytes]]], mod: int, targets: int, spread: int) -> tuple[Tokens, list[Grams]]:
+    """A block's tokens and its words and n-grams of each order that ``answers`` has, order 1 first."""
+    t = _tokens(head, mod)
+    ids, counts = _words(answers[0], targets)
+    levels = [Grams(t.codes, ids, counts, np.zeros(len(ids), np.int64))]
+    for n, rows in enumerate(answers[1:], 2):
+        levels.append(_answered(_asked(t, n, levels[0], levels[-1], targets, spread)[0], rows, targets))
+    return t, levels
+
+
+_TABLE = pa.schema([("target", pa.int32()), ("data", pa.binary()), ("shares", pa.binary()), ("spread", pa.bool_()), *((f"n{r}", pa.int64()) for r in range(1, K + 2))])
+
+
+def _one_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for each (h, w) in their order, whatever their sizes."""
+    bits = int(w.max(initial=0)).bit_length()
+    if int(h.max(initial=0)).bit_length() + bits > 63:
+        h, w = np.unique(h, return_inverse=True)[1], np.unique(w, return_inverse=True)[1]
+        bits = int(w.max(initial=0)).bit_length()
+    return h << bits | w
+
+
+def count_grams(requests: DataFrame, spread: int) -> DataFrame:
+    """A row for each part: its n-grams (packed steps of the history, word, training count, history's
+    count, count and denominator without the first word), what each block asked for, whether a history
+    stands in more parts, and the counts of counts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        shares = [unpack(d) for d in group.column("data").to_pylist()]
+        at = np.cumsum([0, *(len(x[0]) for x in shares)])
+        h = np.concatenate([np.cumsum(x[0], dtype=np.int64) for x in shares])
+        w = np.concatenate([x[1].astype(np.int64) for x in shares])
+        _, one, inverse = np.unique(_one_key(h, w), return_index=True, return_inverse=True)
+        c = np.bincount(inverse, weights=np.concatenate([x[2] for x in shares]), minlength=len(one)).astype(np.int64)
+        often, lower, under = (np.concatenate([x[i] for x in shares])[one] for i in (3, 4, 5))
+        data = pack(narrow(np.diff(h[one], prepend=0)), narrow(w[one]), narrow(c), narrow(often), narrow(lower), narrow(under))
+        # A block's share is in the table's order, so it goes by steps.
+        steps = np.concatenate([np.diff(inverse[a:b], prepend=0) for a, b in zip(at, at[1:])])
+        asked = pack(group.column("block").to_numpy(), narrow(np.diff(at)), narrow(steps))
+        n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
+        row = [group.column("target")[0].as_py(), data, asked, bool(often.max(initial=0) >= spread), *n[1 : K + 2].tolist()]
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _TABLE)], schema=_TABLE)
+
+    return requests.groupBy("target").applyInArrow(run, "target int, data binary, shares binary, spread boolean, " + ", ".join(f"n{r} long" for r in range(1, K + 2)))
+
+
+def _sums(data: bytes, n: int, totals: Totals):
+    """Of a part's table: each n-gram's count and its history's place; of each history its id, count,
+    what the discounts cut from its n-grams, and the probability of the same words one order lower."""
+    step, _, c, often, lower, under = unpack(data)
+    c, lower = c.astype(np.int64), lower.astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], step[1:] > 0)))
+    h = np.cumsum(step, dtype=np.int64)[starts]
+    at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
+    p = totals.p1(lower) if n == 2 else totals.discounted(n - 1, lower) / np.maximum(under, 1)
+    add = lambda x: np.bincount(at, weights=x, minlength=len(h))
+    return c, at, h, often[starts].astype(np.int64), add(c - totals.discounted(n, c)), add(np.where(c > 0, p, 0.0))
+
+
+def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int) -> DataFrame:
+    """For each block and part: packed steps of the numbers, counts, histories' denominators, and the
+    backoff weights of the n-grams not seen, in the order asked."""
+    shape = pa.schema([("h", pa.int64()), ("target", pa.int32()), ("cut", pa.float64()), ("lower", pa.float64())])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for target, data in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                _, _, h, often, cut, lower = _sums(data, n, totals)
+                wide = often >= spread
+                yield pa.RecordBatch.from_arrays([pa.array(h[wide]), pa.array(np.full(int(wide.sum()), target, np.int32)), pa.array(cut[wide]), pa.array(lower[wide])], schema=shape)
+
+    # Histories in several parts: their sums over all of them, back to each.
+    some = written(table.where("spread").select("target", "data").mapInArrow(partial, "h long, target int, cut double, lower double"), "katz-spread")
+    whole = some.groupBy("h").agg(F.sum("cut").alias("cut"), F.sum("lower").alias("lower"))
+    back = some.select("h", "target").join(whole, "h").groupBy("target").agg(F.collect_list(F.struct("h", "cut", "lower")).alias("wide"))
+    rows = table.select("target", "data", "shares").join(written(back, "katz-spread-sums"), "target", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                target, data, shares, wide = (batch.column(k)[i].as_py() for k in range(4))
+                c, at, h, often, cut, lower = _sums(data, n, totals)
+                for x in wide or ():
+                    k = int(np.searchsorted(h, x["h"]))
+                    cut[k], lower[k] = x["cut"], x["lower"]
+                # No mass left for backoff: one more in the denominator.
+                denominator = np.where(cut > 1e-9, often, often + 1)
+                alpha = np.where(cut > 1e-9, cut, 1.0) / np.maximum(denominator, 1) / np.maximum(1 - lower, 1e-12)
+                blocks, sizes, steps = unpack(shares)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                out = []
+                for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+                    own = np.cumsum(steps[a:b], dtype=np.int64)
+                    past, seen = at[own], c[own]
+                    out.append(pack(steps[a:b], narrow(seen), narrow(denominator[past]), alpha[past[seen == 0]]))
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(out), target, np.int32)), pa.array(out, pa.binary())], schema=_ROW)
+
+    return rows.mapInArrow(run, ROW)
 
 
 @dataclass
 class Model:
-    """Tables in parts, each written to the shared folder and partitioned by part."""
+    """Tables in parts, each written to the shared folder: of words, and of the n-grams of each order from 2."""
 
     totals: Totals
     words: DataFrame
-    pairs: DataFrame
-    alphas: DataFrame
+    grams: dict[int, DataFrame]
     scores: DataFrame | None = None
 
 
-def fit_and_score(docs: DataFrame, mod: int = 10) -> Model:
+def n_parts(docs: DataFrame) -> int:
+    """Parts of the tables: by the characters of the input, so that a part stays the same size."""
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(n_targets(docs.sparkSession), size // PART_CHARS)
+
+
+def fit_and_score(docs: DataFrame, mod: int = 10, order: int = ORDER, spread: int = SPREAD) -> Model:
     """Learn from documents whose crc32(doc_id as text) modulo ``mod`` is not 0; score all.
 
     ``scores``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
     """
-    spark = docs.sparkSession
-    targets = n_targets(spark)
+    targets = n_parts(docs)
 
     def weigh(ids, null, counts, codes, n_words):
         train = ~held_out(ids, null, mod)
@@ -217,144 +379,49 @@ def fit_and_score(docs: DataFrame, mod: int = 10) -> Model:
 
     blocks = make_blocks(texts(docs), split, targets, "katz-blocks", weigh)
     heads = blocks.where("head is not null").select("block", F.col("head").cast("binary").alias("data"))
-    answered = written(count_words(blocks.where("target is not null").select("block", "target", "part")), "katz-words")
-    word_parts = answered.where("block is null")
-    word_answers = answered.where("block is not null")
-    types, tokens, *n1 = _histogram(word_parts, 2)
+    counted = written(count_words(blocks.where("target is not null").select("block", "target", "part")), "katz-words")
+    words = counted.where("block is null")
+    types, tokens, *n1 = _histogram(words, 2)
     d1 = discounts([0, *n1])
-    r = np.arange(1, K + 1)
-    kept = tokens - float((r * np.array(n1[:K]) * (1 - d1[1:])).sum())
+    kept = tokens - float((np.arange(1, K + 1) * np.array(n1[:K]) * (1 - d1[1:])).sum())
     denominator = float(tokens) if kept < tokens and tokens else float(tokens + 1)
-    totals = Totals(tokens, types, d1, np.ones(K + 1), denominator, max(1 - kept / denominator, 0.0) if tokens else 1.0)
-    end = _end_id(word_parts, targets)
-
-    # Pairs: each block's distinct ones to their parts.
-    asked = _tagged(heads, 0).unionByName(_tagged(word_answers, 1))
-
-    def ask(group: pa.Table) -> pa.Table:
-        head, (answers,), block = _block(group, 1)
-        ids, counts = _words(answers, targets)
-        train = ~held_out(head[0], head[1], mod)
-        key, weight, own, part, _ = _pairs(head, ids, train, counts, end, targets)
-        ends = np.searchsorted(part, np.arange(targets + 1))
-        out: list[list] = [[], []]
-        for t in np.flatnonzero(np.diff(ends)):
-            a, b = ends[t], ends[t + 1]
-            out[0].append(int(t))
-            out[1].append(pack(np.diff(key[a:b], prepend=np.uint64(0)), narrow(weight[a:b]), narrow(own[a:b])))
-        return pa.Table.from_arrays([pa.array([block] * len(out[0]), pa.int64()), pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], schema=_ROW)
-
-    requests = asked.groupBy("block").applyInArrow(ask, ROW)
-
-    def count(group: pa.Table) -> pa.Table:
-        shares = [unpack(d) for d in group.column("data").to_pylist()]
-        keys = [np.cumsum(s[0], dtype=np.uint64) for s in shares]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([s[1] for s in shares]), minlength=len(distinct)).astype(np.int64)
-        own = np.zeros(len(distinct), np.int64)
-        own[inverse] = np.concatenate([s[2] for s in shares]).astype(np.int64)
-        at = np.cumsum([0, *map(len, keys)])
-        out = _answers(group, [pack(narrow(total[inverse[a:b]])) for a, b in zip(at, at[1:])])
-        # The part's table: pairs seen in training, with the word's own count.
-        seen = total > 0
-        mine = [pack(np.diff(distinct[seen], prepend=np.uint64(0)), narrow(total[seen]), narrow(own[seen]))]
-        table = pa.Table.from_arrays([pa.array([None], pa.int64()), group.column("target").combine_chunks()[:1].cast(pa.int32()), pa.array(mine, pa.binary())], schema=_ROW)
-        return pa.concat_tables([out, table])
-
-    counted = written(requests.groupBy("target").applyInArrow(count, ROW), "katz-pairs")
-    pair_parts = counted.where("block is null")
-    pair_answers = counted.where("block is not null")
-    _, _, *n2 = _histogram(pair_parts, 1)
-    totals.d2 = discounts([0, *n2])
-
-    # Histories: what their seen pairs keep and what those words have as unigrams, to the word's part.
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                delta, c, own = unpack(data)
-                history = (np.cumsum(delta, dtype=np.uint64) >> np.uint64(32)).astype(np.int64)
-                h, inverse = np.unique(history, return_inverse=True)
-                c = c.astype(np.int64)
-                mass = np.append(totals.d2, 1.0)[np.minimum(c, K + 1)] * c
-                cut = np.bincount(inverse, weights=c - mass, minlength=len(h))
-                lower = np.bincount(inverse, weights=totals.p1(own.astype(np.int64)), minlength=len(h))
-                part = h % targets
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(targets + 1))
-                used = np.flatnonzero(np.diff(ends))
-                rows = [pack(narrow(h[o] // targets), cut[o], lower[o]) for o in (order[ends[t] : ends[t + 1]] for t in used)]
-                yield pa.RecordBatch.from_arrays([pa.array([None] * len(rows), pa.int64()), pa.array(used, pa.int32()), pa.array(rows, pa.binary())], schema=_ROW)
-
-    stats = pair_parts.select("data").mapInArrow(sums, ROW)
-    both = stats.select("block", "target", "data", F.lit(1).alias("kind")).unionByName(word_answers.select("block", "target", "data", F.lit(2).alias("kind"))).unionByName(word_parts.select("block", "target", "data", F.lit(0).alias("kind")))
-
-    def backoff(group: pa.Table) -> pa.Table:
-        kinds, data = group.column("kind").to_pylist(), group.column("data").to_pylist()
-        counts = unpack(next(d for k, d in zip(kinds, data) if k == 0))[2].astype(np.int64)
-        cut, lower = np.zeros(len(counts)), np.zeros(len(counts))
-        for k, d in zip(kinds, data):
-            if k == 1:
-                at, a, b = unpack(d)
-                cut[at.astype(np.int64)] += a
-                lower[at.astype(np.int64)] += b
-        # No mass left for backoff: one more in the denominator.
-        denominator = np.where(cut > 1e-9, counts, counts + 1)
-        left = np.where(cut > 1e-9, cut, 1.0) / np.maximum(denominator, 1)
-        alpha = np.where(counts > 0, left / np.maximum(1 - lower, 1e-12), 1.0)
-        blocks, out = [None], [pack(alpha, narrow(denominator))]
-        for block, k, d in zip(group.column("block").to_pylist(), kinds, data):
-            if k == 2:
-                at = unpack(d)[0].astype(np.int64)
-                blocks.append(block)
-                out.append(pack(alpha[at], narrow(denominator[at])))
-        return pa.Table.from_arrays([pa.array(blocks, pa.int64()), pa.array([group.column("target")[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], schema=_ROW)
-
-    weights = written(both.groupBy("target").applyInArrow(backoff, ROW), "katz-backoff")
-    model = Model(totals, word_parts, pair_parts, weights.where("block is null"))
-
-    final = asked.unionByName(_tagged(pair_answers, 2)).unionByName(_tagged(weights.where("block is not null"), 3))
+    totals = Totals(tokens, types, denominator, max(1 - kept / denominator, 0.0) if tokens else 1.0, {1: d1})
+
+    known = _tagged(heads, 0).unionByName(_tagged(counted.where("block is not null"), 1))
+    tables = {}
+    for n in range(2, order + 1):
+
+        def ask(group: pa.Table) -> pa.Table:
+            head, found, block = _block(group, n - 1)
+            t, levels = _known(head, found, mod, targets, spread)
+            _, part, h, *rest = _asked(t, n, levels[0], levels[-1], targets, spread)
+            ends = np.searchsorted(part, np.arange(targets + 1))
+            used = np.flatnonzero(np.diff(ends))
+            rows = [pack(narrow(np.diff(h[a:b], prepend=0)), *(narrow(x[a:b]) for x in rest)) for a, b in zip(ends[used], ends[used + 1])]
+            return pa.Table.from_arrays([pa.array([block] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(rows, pa.binary())], schema=_ROW)
+
+        table = written(count_grams(known.groupBy("block").applyInArrow(ask, ROW), spread), f"katz-grams-{n}")
+        tables[n] = table
+        of = table.agg(*(F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, K + 2))).first()
+        totals.d[n] = discounts([0, *of])
+        known = known.unionByName(_tagged(answers(table, n, totals, targets, spread), n))
+
     shape = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(group: pa.Table) -> pa.Table:
-        head, (word_rows, pair_rows, weight_rows), _ = _block(group, 3)
-        ids, counts = _words(word_rows, targets)
-        doc_ids, null, sizes, codes = head
-        sizes, codes = sizes.astype(np.int64), codes.astype(np.int64)
-        held = held_out(doc_ids, null, mod)
-        *_, at = _pairs(head, ids, ~held, counts, end, targets)
-        c2 = np.concatenate([np.zeros(0, np.int64), *(unpack(d)[0].astype(np.int64) for _, d in pair_rows)])[at]
-        alpha, denominator = (np.concatenate([np.zeros(0), *(unpack(d)[i].astype(float) for _, d in weight_rows)]) for i in (0, 1))
-        first = np.cumsum(sizes) - sizes
-        h = np.empty_like(codes)
-        h[1:] = codes[:-1]
-        # The end token's place in this block; every document has one.
-        h[first] = codes[np.cumsum(sizes)[0] - 1] if len(sizes) else 0
-        c1 = counts[codes]
-        p1 = totals.p1(c1)
-        p2 = np.append(totals.d2, 1.0)[np.minimum(c2, K + 1)] * c2 / np.maximum(denominator[h], 1)
-        p = np.where(c2 > 0, p2, np.where(counts[h] > 0, alpha[h], 1.0) * p1)
-        each = np.log10(p)
+        head, found, _ = _block(group, order)
+        t, (own, *levels) = _known(head, found, mod, targets, spread)
+        c1 = own.counts[t.codes]
+        p = totals.p1(c1)
+        for n, level in enumerate(levels, 2):
+            asked = np.flatnonzero(level.at >= 0)
+            at = level.at[asked]
+            c = level.counts[at]
+            p[asked] = np.where(c > 0, totals.discounted(n, c) / np.maximum(level.denominators[at], 1), level.alphas[at] * p[asked])
         base = np.log10((c1 + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
-        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        known = add((c1 > 0).astype(np.int64))
-        return pa.Table.from_arrays([pa.array(doc_ids, mask=null.astype(bool)), pa.array(held), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), totals.tokens)), pa.array(add(base)), pa.array(add(each))], schema=shape)
-
-    model.scores = final.groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return model
-
-
-def _end_id(word_parts: DataFrame, targets: int) -> int:
-    """The id of the end token (one lookup in its part), or -1 without documents."""
-    import zlib
-
-    part = zlib.crc32(END) % targets
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                lengths, blob, _ = unpack(data)
-                at = unpack_words(lengths, blob).index(END)
-                yield pa.RecordBatch.from_arrays([pa.array([at * targets + part], pa.int64())], names=["id"])
+        add = lambda x: np.add.reduceat(x, t.first) if len(t.first) else np.zeros(0)
+        n_known = add((c1 > 0).astype(np.int64)).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(t.doc_ids, mask=t.null), pa.array(t.held), pa.array(t.sizes), pa.array(n_known), pa.array(np.full(len(t.sizes), totals.tokens)), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=shape)
 
-    row = word_parts.where(F.col("target") == part).select("data").mapInArrow(run, "id long").first()
-    return row[0] if row else -1
+    scores = known.groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return Model(totals, words, tables, scores)

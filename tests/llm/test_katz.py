@@ -1,55 +1,61 @@
+import functools
 import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lodestone.llm import katz
 
 
-def brute(rows, mod=10):
-    """The same model over plain dictionaries."""
+def brute(rows, mod=10, order=3):
+    """The same model over plain dictionaries, evaluated recursively; the end token stands before the first word."""
     def tokens(t):
-        return [w.decode() for w in katz.split()(t or "")]
+        return (" ", *(w.decode() for w in katz.split()(t or "")))
 
     held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % mod == 0 for i, _ in rows}
-    c1, c2 = Counter(), Counter()
+    c1, follow = Counter(), [{} for _ in range(order + 1)]
     for i, t in rows:
         if not held[i]:
             w = tokens(t)
-            c1.update(w)
-            c2.update(zip([" ", *w], w))
+            c1.update(w[1:])
+            for n in range(2, order + 1):
+                for k in range(len(w) - n + 1):
+                    follow[n].setdefault(w[k : k + n - 1], Counter())[w[k + n - 1]] += 1
     n, v = sum(c1.values()), len(c1)
-    hist = lambda c: [0] + [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]
-    d1, d2 = katz.discounts(hist(c1)), katz.discounts(hist(c2))
-    d = lambda t, c: t[c] if c <= katz.K else 1.0
-    kept = sum(d(d1, c) * c for c in c1.values())
+    hist = lambda c: [0] + [sum(x == r for x in c) for r in range(1, katz.K + 2)]
+    d = [None, katz.discounts(hist(c1.values())), *(katz.discounts(hist([c for f in follow[m].values() for c in f.values()])) for m in range(2, order + 1))]
+    cut = lambda m, c: (d[m][c] if c <= katz.K else 1.0) * c
+    kept = sum(cut(1, c) for c in c1.values())
     den1 = n if kept < n - 1e-9 else n + 1
     unknown = 1 - kept / den1 if n else 1.0
-    p1 = lambda w: d(d1, c1[w]) * c1[w] / den1 if c1[w] else unknown
-    follow = {}
-    for (h, w), c in c2.items():
-        follow.setdefault(h, {})[w] = c
 
+    @functools.cache
     def history(h):
-        f = follow[h]
-        mass = sum(d(d2, c) * c for c in f.values())
-        den = c1[h] if c1[h] - mass > 1e-9 else c1[h] + 1
-        return den, (1 - mass / den) / (1 - sum(p1(w) for w in f))
+        f = follow[len(h) + 1].get(h)
+        if not f:
+            return None
+        total, mass = sum(f.values()), sum(cut(len(h) + 1, c) for c in f.values())
+        den = total if total - mass > 1e-9 else total + 1
+        return f, den, (1 - mass / den) / (1 - sum(p(w, h[1:]) for w in f))
 
     def p(w, h):
-        if not c1[h]:
-            return p1(w)
-        den, alpha = history(h)
-        c = follow[h].get(w, 0)
-        return d(d2, c) * c / den if c else alpha * p1(w)
+        if not h:
+            return cut(1, c1[w]) / den1 if c1[w] else unknown
+        found = history(h)
+        if not found:
+            return p(w, h[1:])
+        f, den, alpha = found
+        return cut(len(h) + 1, f[w]) / den if f[w] else alpha * p(w, h[1:])
 
     out = []
     for i, t in rows:
         w = tokens(t)
-        base = sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        out.append((i, held[i], len(w), sum(c1[x] > 0 for x in w), n, base, sum(math.log10(p(x, h)) for h, x in zip([" ", *w], w))))
-    return out, p, c1
+        base = sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w[1:])
+        score = sum(math.log10(p(w[k], w[max(0, k - order + 1) : k])) for k in range(1, len(w)))
+        out.append((i, held[i], len(w) - 1, sum(c1[x] > 0 for x in w[1:]), n, base, score))
+    return out, p, c1, [h for f in follow for h in f]
 
 
 def close(got, want):
@@ -60,13 +66,29 @@ def close(got, want):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
-def test_scores_against_dictionaries(odd_docs, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_against_dictionaries(odd_docs, order):
+    """Every order; sums over the vocabulary are one after short, long, seen and unseen histories."""
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
-    want, p, c1 = brute(rows)
-    for h in list(c1)[:40] + ["never seen"]:
-        assert sum(p(w, h) for w in c1) + p("never seen", h) == pytest.approx(1, abs=1e-9)
+    want, p, c1, histories = brute(rows, order=order)
+    for h in [(), ("never seen",), *histories[:10], *histories[-10:], *histories[:: len(histories) // 20 + 1]]:
+        assert sum(p(w, h) for w in c1) + p("never seen", h) == pytest.approx(1, abs=1e-8)
     assert any(w[1] for w in want)
-    close(katz.fit_and_score(odd_docs).scores.collect(), want)
+    close(katz.fit_and_score(odd_docs, order=order).scores.collect(), want)
+
+
+def test_histories_over_several_parts(odd_docs):
+    """The same scores where frequent histories are spread."""
+    rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
+    model = katz.fit_and_score(odd_docs, spread=8)
+    assert model.grams[2].where("spread").count() > 1 and model.grams[3].where("spread").count() > 1
+    close(model.scores.collect(), brute(rows)[0])
+
+
+def test_keys_of_any_size():
+    h, w = np.array([5, 1, 1, 2**61]), np.array([2**40, 7, 6, 2**60])
+    assert np.argsort(katz._one_key(h, w)).tolist() == [2, 1, 0, 3]
+    assert len(set(katz._one_key(h, w).tolist())) == 4
 
 
 def test_model_on_the_small_tables_beats_the_base(spark):
