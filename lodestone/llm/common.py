@@ -8,6 +8,7 @@ only costs the tasks it ran. They stay until :func:`release` or the end of the d
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import re
 import shutil
@@ -88,6 +89,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of plans that are over: Spark does so when it collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of an input table."""
     ship(spark)

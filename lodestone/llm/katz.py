@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import make_blocks, read_head
-from lodestone.llm.common import n_targets, narrow, pack, texts, unpack, unpack_words, written
+from lodestone.llm.common import n_targets, narrow, pack, texts, tidy, unpack, unpack_words, written
 
 K = 5
 ORDER = 3
@@ -235,6 +235,20 @@ def _asked(t: Tokens, n: int, words: Grams, lower: Grams, targets: int, spread:
     return at, *(x[order] for x in (part, h, w, weight, often, lower.counts[tail], lower.denominators[tail]))
 
 
+def _packed(h: np.ndarray, w: np.ndarray, c: np.ndarray, often: np.ndarray, lower: np.ndarray, under: np.ndarray) -> bytes:
+    """n-grams in order; what only depends on the history (its count, and the denominator one order lower) once for each."""
+    starts = np.flatnonzero(np.diff(h, prepend=-1))
+    runs = np.diff(np.append(starts, len(h)))
+    return pack(narrow(np.diff(h[starts], prepend=0)), narrow(runs), narrow(w), narrow(c), narrow(often[starts]), narrow(lower), narrow(under[starts]))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """Of each n-gram: the place of its history, word, count, count without the first word; of each
+    history: its id, count, and the denominator one order lower."""
+    step, runs, w, c, often, lower, under = unpack(data)
+    return np.repeat(np.arange(len(runs)), runs), w.astype(np.int64), c.astype(np.int64), lower.astype(np.int64), np.cumsum(step, dtype=np.int64), often.astype(np.int64), under.astype(np.int64)
+
+
 def _answered(at: np.ndarray, rows: list[tuple[int, bytes]], targets: int) -> Grams:
     """The block's n-grams with what the parts know of them."""
     ids, counts, denominators, alphas = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -273,24 +287,22 @@ def _one_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def count_grams(requests: DataFrame, spread: int) -> DataFrame:
-    """A row for each part: its n-grams (packed steps of the history, word, training count, history's
-    count, count and denominator without the first word), what each block asked for, whether a history
-    stands in more parts, and the counts of counts."""
+    """A row for each part: its n-grams (see :func:`_packed`), what each block asked for, whether a
+    history stands in more parts, and the counts of counts."""
 
     def run(group: pa.Table) -> pa.Table:
-        shares = [unpack(d) for d in group.column("data").to_pylist()]
-        at = np.cumsum([0, *(len(x[0]) for x in shares)])
-        h = np.concatenate([np.cumsum(x[0], dtype=np.int64) for x in shares])
-        w = np.concatenate([x[1].astype(np.int64) for x in shares])
+        shares = [_unpacked(d) for d in group.column("data").to_pylist()]
+        ends = np.cumsum([0, *(len(x[0]) for x in shares)])
+        h, often, under = (np.concatenate([x[i][x[0]] for x in shares]) for i in (4, 5, 6))
+        w = np.concatenate([x[1] for x in shares])
         _, one, inverse = np.unique(_one_key(h, w), return_index=True, return_inverse=True)
         c = np.bincount(inverse, weights=np.concatenate([x[2] for x in shares]), minlength=len(one)).astype(np.int64)
-        often, lower, under = (np.concatenate([x[i] for x in shares])[one] for i in (3, 4, 5))
-        data = pack(narrow(np.diff(h[one], prepend=0)), narrow(w[one]), narrow(c), narrow(often), narrow(lower), narrow(under))
+        data = _packed(h[one], w[one], c, often[one], np.concatenate([x[3] for x in shares])[one], under[one])
         # A block's share is in the table's order, so it goes by steps.
-        steps = np.concatenate([np.diff(inverse[a:b], prepend=0) for a, b in zip(at, at[1:])])
-        asked = pack(group.column("block").to_numpy(), narrow(np.diff(at)), narrow(steps))
+        steps = np.concatenate([np.diff(inverse[a:b], prepend=0) for a, b in zip(ends, ends[1:])])
+        asked = pack(group.column("block").to_numpy(), narrow(np.diff(ends)), narrow(steps))
         n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
-        row = [group.column("target")[0].as_py(), data, asked, bool(often.max(initial=0) >= spread), *n[1 : K + 2].tolist()]
+        row = [group.column("target")[0].as_py(), data, asked, bool((often >= spread).any()), *n[1 : K + 2].tolist()]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _TABLE)], schema=_TABLE)
 
     return requests.groupBy("target").applyInArrow(run, "target int, data binary, shares binary, spread boolean, " + ", ".join(f"n{r} long" for r in range(1, K + 2)))
@@ -299,14 +311,10 @@ def count_grams(requests: DataFrame, spread: int) -> DataFrame:
 def _sums(data: bytes, n: int, totals: Totals):
     """Of a part's table: each n-gram's count and its history's place; of each history its id, count,
     what the discounts cut from its n-grams, and the probability of the same words one order lower."""
-    step, _, c, often, lower, under = unpack(data)
-    c, lower = c.astype(np.int64), lower.astype(np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], step[1:] > 0)))
-    h = np.cumsum(step, dtype=np.int64)[starts]
-    at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
-    p = totals.p1(lower) if n == 2 else totals.discounted(n - 1, lower) / np.maximum(under, 1)
+    at, _, c, lower, h, often, under = _unpacked(data)
+    p = totals.p1(lower) if n == 2 else totals.discounted(n - 1, lower) / np.maximum(under, 1)[at]
     add = lambda x: np.bincount(at, weights=x, minlength=len(h))
-    return c, at, h, often[starts].astype(np.int64), add(c - totals.discounted(n, c)), add(np.where(c > 0, p, 0.0))
+    return c, at, h, often, add(c - totals.discounted(n, c)), add(np.where(c > 0, p, 0.0))
 
 
 def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int) -> DataFrame:
@@ -397,7 +405,7 @@ def fit_and_score(docs: DataFrame, mod: int = 10, order: int = ORDER, spread: in
             _, part, h, *rest = _asked(t, n, levels[0], levels[-1], targets, spread)
             ends = np.searchsorted(part, np.arange(targets + 1))
             used = np.flatnonzero(np.diff(ends))
-            rows = [pack(narrow(np.diff(h[a:b], prepend=0)), *(narrow(x[a:b]) for x in rest)) for a, b in zip(ends[used], ends[used + 1])]
+            rows = [_packed(h[a:b], *(x[a:b] for x in rest)) for a, b in zip(ends[used], ends[used + 1])]
             return pa.Table.from_arrays([pa.array([block] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(rows, pa.binary())], schema=_ROW)
 
         table = written(count_grams(known.groupBy("block").applyInArrow(ask, ROW), spread), f"katz-grams-{n}")
@@ -405,6 +413,7 @@ def fit_and_score(docs: DataFrame, mod: int = 10, order: int = ORDER, spread: in
         of = table.agg(*(F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, K + 2))).first()
         totals.d[n] = discounts([0, *of])
         known = known.unionByName(_tagged(answers(table, n, totals, targets, spread), n))
+        tidy(docs.sparkSession)
 
     shape = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
