@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, exact_dedup, katz, line_dedup, pii, quality, simhash, token_files, toxicity
+from lodestone.llm import alignment, bpe, decontamination, exact_dedup, katz, line_dedup, pii, quality, sharding, simhash, token_files, toxicity, vector_codes
 from lodestone.llm.common import table
 
 
@@ -63,6 +63,21 @@ def op10_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's aligned groups of two tokenizers, and its links under corpus-wide counts."""
+    return alignment.digests(alignment.align(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op12_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in eight shards of nearly equal bytes, equal texts together."""
+    return sharding.sharded(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's code of 16 parts under codebooks learned from all."""
+    return vector_codes.digests(vector_codes.coded(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_contextual_pii": op2_contextual_pii,
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_mil": op9_quality_mil,
     "op10_toxicity_bigru": op10_toxicity_bigru,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_byte_shards": op12_byte_shards,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: White space runs become one space by the same rule in every dialect of regular expressions.
