@@ -25,13 +25,14 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batched, gather, n_targets, narrow, pack, texts, unpack, written
+from lodestone.llm.common import batched, n_targets, narrow, pack, texts, unpack, written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_CHARS = 8 << 20
@@ -130,7 +131,7 @@ def overlaps(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
 def spans(ids: list[list[int]], sizes: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, ...]:
     """``piece, id, start, end`` of all tokens; a piece's bytes begin at its base."""
     n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
     piece = np.repeat(np.arange(len(ids)), n)
     ends = np.cumsum(sizes[flat])
     before = np.concatenate(([0], ends))[np.cumsum(n) - n]
@@ -138,6 +139,13 @@ def spans(ids: list[list[int]], sizes: np.ndarray, bases: np.ndarray) -> tuple[n
     return piece, flat, end - sizes[flat], end
 
 
+def fresh(group: np.ndarray) -> np.ndarray:
+    """1 where another group begins."""
+    out = np.ones(len(group), np.uint8)
+    out[1:] = group[1:] != group[:-1]
+    return out
+
+
 class Block:
     """Documents as numbers of pieces, and the different pieces."""
 
@@ -157,9 +165,14 @@ class Block:
     def rows(self, code: Coder, targets: int) -> pa.RecordBatch:
         """The block's packed documents and pieces (no target), and for each target its id pairs with their counts."""
         pieces = list(self.number)
+        # Numbers in order of use pack well.
+        by_use = np.argsort(-np.bincount(np.concatenate([np.zeros(0, np.int64), *self.codes]), minlength=len(pieces)), kind="stable")
+        rank = np.empty(len(pieces), np.int64)
+        rank[by_use] = np.arange(len(pieces))
+        pieces = [pieces[i] for i in by_use.tolist()]
         ids_a, ids_b = code.encode(pieces)
         ok = np.fromiter(map(bool, ids_a), bool, len(pieces))
-        codes = [c if ok[c].all() else c[:0] for c in self.codes]
+        codes = [c if ok[c].all() else c[:0] for c in (rank[c] for c in self.codes)]
         counts = np.fromiter(map(len, codes), np.int64, len(codes))
         flat = np.concatenate([np.zeros(0, np.int64), *codes])
         size = np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces))
@@ -183,7 +196,7 @@ class Block:
         per = lambda x: narrow(np.bincount(x, minlength=len(pieces)))
         head = pack(
             np.array([x or 0 for x in self.ids], np.int64), null, narrow(counts), narrow(flat),
-            per(piece_a), per(piece_b), per(linked), narrow(n_over), narrow(a), narrow(b), narrow(group_a), narrow(group_b), narrow(place[pair]),
+            per(piece_a), per(piece_b), per(linked), narrow(n_over), narrow(a), narrow(b), fresh(group_a), fresh(group_b), narrow(place[pair]),
         )
         block = int.from_bytes(os.urandom(8), "little", signed=True)
         out = [(block, None, head)]
@@ -199,15 +212,11 @@ class Aligned:
 
     def __init__(self, data: bytes) -> None:
         self.ids, null, counts, codes, *rest = unpack(data)
-        self.n_a, self.n_b, self.n_links, self.n_over, self.a, self.b, self.group_a, self.group_b, self.pair = (x.astype(np.int64) for x in rest)
+        self.n_a, self.n_b, self.n_links, self.n_over, self.a, self.b, self.fresh_a, self.fresh_b, self.pair = (x.astype(np.int64) for x in rest)
         self.null, self.counts, self.codes = null.astype(bool), counts.astype(np.int64), codes.astype(np.int64)
-        first = lambda n: np.cumsum(n) - n
-        self.at_a, self.at_b = first(self.n_a), first(self.n_b)
         self.ends = np.cumsum(self.counts)
         # Groups never cross pieces, so a piece's groups are those of its A tokens.
-        fresh = np.ones(len(self.group_a), bool)
-        fresh[1:] = self.group_a[1:] != self.group_a[:-1]
-        self.n_groups = self.by_piece(fresh, self.at_a, self.n_a)
+        self.n_groups = self.by_piece(self.fresh_a, np.cumsum(self.n_a) - self.n_a, self.n_a)
 
     @staticmethod
     def by_piece(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -219,17 +228,22 @@ class Aligned:
         upto = np.concatenate(([0], np.cumsum(per_piece[self.codes], dtype=np.int64)))
         return upto[self.ends] - upto[self.ends - self.counts]
 
-    def groups(self, piece: int) -> Iterator[tuple[list[int], list[int]]]:
-        """A ids and B ids of each group of a piece."""
-        a0, b0 = self.at_a[piece], self.at_b[piece]
-        ga, gb = self.group_a[a0 : a0 + self.n_a[piece]], self.group_b[b0 : b0 + self.n_b[piece]]
-        a, b = self.a[a0 : a0 + len(ga)].tolist(), self.b[b0 : b0 + len(gb)].tolist()
-        first = int(ga[0]) if len(ga) else 0
-        n = int(ga[-1]) - first + 1 if len(ga) else 0
-        ca = np.searchsorted(ga, np.arange(first, first + n + 1)).tolist()
-        cb = np.searchsorted(gb, np.arange(first, first + n + 1)).tolist()
-        for k in range(n):
-            yield a[ca[k] : ca[k + 1]], b[cb[k] : cb[k + 1]]
+    def cuts(self) -> Iterator[tuple[int, int, int, int]]:
+        """Where the A tokens and the B tokens of all pieces' groups begin and end, in order."""
+        cut_a = np.append(np.flatnonzero(self.fresh_a), len(self.a)).tolist()
+        cut_b = np.append(np.flatnonzero(self.fresh_b), len(self.b)).tolist()
+        return zip(cut_a, cut_a[1:], cut_b, cut_b[1:])
+
+    def said(self) -> list[bytes]:
+        """Each piece's groups as text: ``a1,a2|b1;a3|b2``."""
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        one = [f"{a[i]}|{b[k]}" if j - i == m - k == 1 else f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in self.cuts()]
+        at = self.first_groups()
+        return [";".join(one[i:j]).encode() for i, j in zip(at, at[1:])]
+
+    def first_groups(self) -> list[int]:
+        """Where each piece's groups begin among all, and where the last ends."""
+        return np.concatenate(([0], np.cumsum(self.n_groups))).tolist()
 
     def codes_of(self, k: int) -> np.ndarray:
         return self.codes[self.ends[k] - self.counts[k] : self.ends[k]]
@@ -299,8 +313,9 @@ def groups(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 x = Aligned(data)
+                every, at = list(x.cuts()), x.first_groups()
                 for k, doc_id in enumerate(x.ids.tolist()):
-                    own = [{"a": a, "b": b} for p in x.codes_of(k) for a, b in x.groups(p)]
+                    own = [{"a": x.a[i:j].tolist(), "b": x.b[m:n].tolist()} for p in x.codes_of(k) for i, j, m, n in every[at[p] : at[p + 1]]]
                     yield pa.RecordBatch.from_pylist([{"doc_id": None if x.null[k] else doc_id, "groups": own}], schema=shape)
 
     return blocks.where("target is null").select("data").mapInArrow(run, "doc_id long, groups array<struct<a: array<int>, b: array<int>>>")
@@ -319,7 +334,7 @@ def digests(blocks: DataFrame) -> DataFrame:
         count, best = (np.concatenate([empty, *(s[k] for s in shares)]).astype(np.int64) for k in (0, 1))
         at = np.cumsum(x.n_links) - x.n_links
         per = [x.n_a, x.n_b, x.n_groups, x.n_links, x.by_piece(best[x.pair], at, x.n_links), x.by_piece(count[x.pair], at, x.n_links)]
-        said = [";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in x.groups(p)).encode() for p in range(len(x.n_a))]
+        said = x.said()
         shas = []
         for k, n in enumerate(x.counts.tolist()):
             shas.append(hashlib.sha256(b";".join(map(said.__getitem__, x.codes_of(k).tolist()))).hexdigest() if n else "")
