@@ -10,13 +10,14 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import jq
 from lodestone.functions import text as X
 from lodestone.operators import annotate, calibration, compare, metrics, models, rows, sampling, stats
-from lodestone.sources import jsonl
+from lodestone.operators.answers import AnswerStore, Limits
+from lodestone.sources import jsonl, sinks
 
 
 def number(text: str) -> float | int:
@@ -25,13 +26,14 @@ def number(text: str) -> float | int:
     return int(value) if value == int(value) else value
 
 
-def inferred(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines of ``folder`` with the fields they have, and ``split`` and ``file``."""
+def inferred(spark: SparkSession, folder: str, placed: bool = False) -> DataFrame:
+    """All lines of ``folder`` with the fields they have, and ``split`` and ``file``; ``_at``, a line's place, if ``placed``."""
     lines = jsonl.read_lines(spark, folder)
     strings = getattr(lines.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
     schema = DataFrame(spark._jsparkSession.read().json(strings), spark).schema
     split = F.regexp_extract("file", r"/(train|test|valid)/[^/]*$", 1)
-    return lines.select(F.from_json("value", schema).alias("r"), "file", split.alias("split")).select("r.*", "file", "split")
+    at = [F.col("at").alias("_at")] if placed else []
+    return lines.select(F.from_json("value", schema).alias("r"), "file", split.alias("split"), *at).select("r.*", "file", "split", *(["_at"] if placed else []))
 
 
 def expression(df: DataFrame, field: str | None, text: str | None, default: str):
@@ -43,6 +45,11 @@ def strict(df: DataFrame, a: argparse.Namespace) -> DataFrame:
     return df.select("file", "split", expression(df, a.text_field, a.text_expression, ".text").cast("string").alias("text"), expression(df, a.label_field, a.label_expression, ".score").alias("label"))
 
 
+def put_like(df: DataFrame, a: argparse.Namespace) -> None:
+    """Each input file's rows under the same path below the output."""
+    sinks.write_like(df.drop("split"), [a.input], a.output, order=["_at"])
+
+
 def put(df: DataFrame, out: str) -> None:
     df = df.drop("file")
     if "split" in df.columns and not df.where("split <> ''").isEmpty():
@@ -52,22 +59,34 @@ def put(df: DataFrame, out: str) -> None:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """``_id``: a row's fingerprint and its place among equal rows, for hash sampling."""
-    return df.withColumn("_id", F.xxhash64(*[c for c in df.columns if c not in ("file", "split")]).cast("string"))
+    """``_id``: a row's fingerprint and its place among equal rows, for hash sampling.
+
+    Equal rows are counted a file at a time, and a file's places start at a prefix sum, so no task
+    gets more than one file's equal rows.
+    """
+    content = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in ("file", "split", "_at"))))
+    marked = df.withColumn("_h", F.sha2(F.coalesce(content, F.lit("")), 256))
+    local = marked.withColumn("_k", F.row_number().over(Window.partitionBy("_h", "file").orderBy(F.lit(0))))
+    counts = marked.groupBy("_h", "file").agg(F.count("*").alias("_n"))
+    base = counts.select("_h", "file", (F.sum("_n").over(Window.partitionBy("_h").orderBy("file")) - F.col("_n")).alias("_base"))
+    return local.join(base, ["_h", "file"]).withColumn("_id", F.concat_ws("-", "_h", F.col("_base") + F.col("_k"))).select(*df.columns, "_id")
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> object:
     c = a.command
     if c == "import-dataset":
         df = spark.read.format(a.format).load(a.input)
-        df = keyed(df) if not a.key else df.withColumn("_id", F.col(a.key))
-        put(sampling.positions(sampling.split(df, "_id", a.seed, a.test_split), "_id", a.seed).drop("_id", "position"), a.output)
+        df = keyed(df.withColumn("file", F.input_file_name())).drop("file") if not a.key else df.withColumn("_id", F.col(a.key))
+        df = sampling.split(df, "_id", a.seed, a.test_split)
+        for split in ("train", "test"):
+            part = sampling.positions(df.where(F.col("split") == split), "_id", a.seed).drop("_id", "split")
+            sinks.write_shards(part, f"{a.output}/{split}", "position", a.rows_per_file)
     elif c == "transform-dataset":
-        df = inferred(spark, a.input)
+        df = inferred(spark, a.input, placed=True)
         objects = jq.compile_object(a.text_transform, df) | jq.compile_object(a.label_transform, df)
-        put(df.select(*(v.alias(k) for k, v in objects.items()), "split"), a.output)
+        put_like(df.select(*(v.alias(k) for k, v in objects.items()), "file", "_at"), a)
     elif c == "normalize-dataset":
-        put(rows.normalize_rows(inferred(spark, a.input), a.normalizer, a.text_field or "text", a.label_field), a.output)
+        put_like(rows.normalize_rows(inferred(spark, a.input, placed=True), a.normalizer, a.text_field or "text", a.label_field), a)
     elif c == "convert-to-lines":
         df = strict(inferred(spark, a.input), a)
         if a.bins:
@@ -81,10 +100,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
     elif c == "sample-dataset":
         if (a.rate is None) == (a.target_size is None):
             raise ValueError("give either a rate or a target size")
-        lines = jsonl.read_lines(spark, a.input).withColumn("_id", F.xxhash64("value", "file").cast("string"))
-        kept = sampling.sample_rate(lines, a.rate, "_id", a.seed) if a.rate else sampling.sample_bytes(lines, X.byte_size(a.target_size), "_id", F.octet_length("value") + 1, "file", a.seed)
-        split = F.regexp_extract("file", r"/(train|test|valid)/[^/]*$", 1)
-        kept.select(split.alias("split"), "value").write.mode("overwrite").option("compression", "gzip").partitionBy("split").text(a.output)
+        lines = keyed(jsonl.read_lines(spark, a.input).withColumn("_at", F.col("at")).drop("at"))
+        size = F.octet_length("value") + 1
+        if a.rate:
+            kept = sampling.sample_rate(lines, a.rate, "_id", a.seed)
+        elif a.by_file:
+            sizes = lines.groupBy("file").agg(F.sum(size).alias("size"))
+            kept = sampling.byte_budget(lines, sizes, X.byte_size(a.target_size), "_id", size, "file", a.seed)
+        else:
+            kept = sampling.sample_bytes(lines, X.byte_size(a.target_size), "_id", size, "file", a.seed)
+        sinks.write_like(kept.drop("_id"), [a.input], a.output, order=["_at"], value="value")
     elif c == "count-tokens":
         df = inferred(spark, a.input)
         body = expression(df, a.text_field, a.text_expression, ".text").cast("string")
@@ -92,25 +117,28 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         return df.agg(F.coalesce(F.sum(words), F.lit(0)).alias("tokens"), F.count("*").alias("rows"), F.count_distinct("file").alias("files"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("bytes")).first().asDict()
     elif c == "reshard-dataset":
         df = keyed(inferred(spark, a.input)).drop("split")
-        out = sampling.reshard(df, "_id", a.files, a.test, a.valid, a.seed).drop("_id", "position", "file")
-        out.repartition("shard").write.mode("overwrite").option("compression", "gzip").partitionBy("split", "shard").json(a.output)
+        out = sampling.reshard(df, "_id", a.files, a.test, a.valid, a.seed).drop("_id", "file")
+        sinks.write_numbered(out, a.output, "split", "shard", a.files, "position")
     elif c == "train-ngrams":
         df = strict(inferred(spark, a.input), a).where("split = 'train'").withColumn("label", F.col("label").cast("string"))
         models.save(models.train_ngrams(df, n=a.ngrams, buckets=a.buckets, epochs=a.epochs, loss=a.loss), a.output, vars(a))
     elif c in ("infer-ngrams", "eval-ngrams"):
         from pyspark.ml import PipelineModel
 
-        model, df = PipelineModel.load(f"{a.model}/model"), inferred(spark, a.input)
+        model, df = PipelineModel.load(f"{a.model}/model"), inferred(spark, a.input, placed=c == "infer-ngrams")
         if c == "eval-ngrams":
             df = strict(df, a).where("split = 'test'").withColumn("label", F.col("label").cast("string"))
             per = models.evaluate(df, model)
             return jsonl.results(per, metrics.macro(per))
         body = expression(df, a.text_field, a.text_expression, ".text").cast("string")
         scored = models.infer(df.withColumn("_text", body).withColumnRenamed("text", "_old").withColumnRenamed("_text", "text"), model, "_label", "_p")
-        put(rows.write_back(scored.drop("text").withColumnRenamed("_old", "text"), a.name, F.col("_p")).drop("_p"), a.output)
+        put_like(rows.write_back(scored.drop("text").withColumnRenamed("_old", "text"), a.name, F.col("_p")).drop("_p"), a)
     elif c == "annotate-dataset":
         prompt = annotate.PROMPTS.get(a.prompt) or annotate.rubric(a.prompt)
-        put(annotate.annotate(inferred(spark, a.input), prompt, a.text_field or "text", limit=a.limit_rows).rows, a.output)
+        limits = Limits(a.max_requests_per_minute, a.max_tokens_per_minute, a.max_concurrent_requests, a.max_new_tokens)
+        store = AnswerStore(spark, a.store) if a.store else None
+        done = annotate.annotate(inferred(spark, a.input, placed=True), prompt, a.text_field or "text", limit=a.limit_rows, reprocess=a.reprocess_all_rows, store=store, invalidate=a.invalidate, limits=limits if a.one_call_each else None)
+        put_like(done.rows, a)
     elif c == "list-prompts":
         return sorted(annotate.PROMPTS)
     elif c == "annotation-agreement":
@@ -173,18 +201,20 @@ def parser() -> argparse.ArgumentParser:
         for flag, extra in options:
             s.add_argument(flag, **extra)
 
-    add("import-dataset", ("--format", {"default": "parquet"}), ("--key", {}), ("--test-split", {"type": float, "default": 0.1}))
+    add("import-dataset", ("--format", {"default": "parquet"}), ("--key", {}), ("--test-split", {"type": float, "default": 0.1}), ("--rows-per-file", {"type": int, "default": 100_000}))
     add("transform-dataset", ("--text-transform", {"default": "{text: .text}"}), ("--label-transform", {"default": "{score: .score}"}))
     add("normalize-dataset", ("--normalizer", {"default": "plsfix"}))
     add("convert-to-lines", ("--normalizer", {"default": "whitespace"}), ("--max-length", {"type": int}), ("--bins", {"type": int}))
     add("balance-dataset", ("--exact", {"action": "store_true"}))
-    add("sample-dataset", ("--rate", {"type": float}), ("--target-size", {}))
+    add("sample-dataset", ("--rate", {"type": float}), ("--target-size", {}), ("--by-file", {"action": "store_true"}))
     add("count-tokens", output=False)
     add("reshard-dataset", ("--files", {"type": int, "required": True}), ("--test", {"type": number, "default": 0}), ("--valid", {"type": number, "default": 0}))
     add("train-ngrams", ("--ngrams", {"type": int, "default": 3}), ("--buckets", {"type": int, "default": 1 << 16}), ("--epochs", {"type": int, "default": 20}), ("--loss", {"choices": ["softmax", "ova"], "default": "softmax"}))
     add("infer-ngrams", ("--model", {"required": True}), ("--name", {"default": "classifier"}))
     add("eval-ngrams", ("--model", {"required": True}), output=False)
-    add("annotate-dataset", ("--prompt", {"required": True}), ("--limit-rows", {"type": int}))
+    share = [(f"--max-{name}", {"type": int, "default": n}) for name, n in (("requests-per-minute", 10_000), ("tokens-per-minute", 100_000_000), ("concurrent-requests", 1_000), ("new-tokens", 16_384))]
+    flags = [(f"--{name}", {"action": "store_true"}) for name in ("invalidate", "reprocess-all-rows", "one-call-each")]
+    add("annotate-dataset", ("--prompt", {"required": True}), ("--limit-rows", {"type": int}), ("--store", {}), *flags, *share)
     add("list-prompts", output=False, source=False)
     add("annotation-agreement", ("--key-expression", {"default": ".id"}), ("--ordinal", {"action": "store_true"}), output=False)
     add("label-distribution", ("--value", {"action": "store_true"}), output=False)

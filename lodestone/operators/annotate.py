@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import text as X
+from lodestone.operators.answers import AnswerStore, Limits, call_all
 
 SEPARATOR = "\n\n\n"
 ROLES = ("system", "user", "assistant")
 PROMPTS: dict[str, "Prompt"] = {}
-SYSTEM_PROMPTS: dict[str, str] = {}
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,10 @@ def rubric(language: str, low: int = 1, high: int = 5) -> Prompt:
     return Prompt(f"teaching_value_{language.lower().replace(' ', '_')}", words, schema)
 
 
+#: The prompt that is there from the start.
+PROSE = rubric("prose").register()
+
+
 def json_schema(schema: T.DataType) -> dict:
     """A strict JSON schema: every property is required and no other is allowed."""
     if isinstance(schema, T.StructType):
@@ -101,10 +106,27 @@ class Run:
     rejected: DataFrame = field(repr=False)
 
 
-def annotate(df: DataFrame, prompt: Prompt, content: str, annotator: Annotator = length_annotator, limit: int | None = None, reprocess: bool = False, cache: DataFrame | None = None, batch: int = 2000) -> Run:
+def annotate(
+    df: DataFrame,
+    prompt: Prompt,
+    content: str,
+    annotator: Annotator = length_annotator,
+    limit: int | None = None,
+    reprocess: bool = False,
+    cache: DataFrame | None = None,
+    batch: int = 2000,
+    store: AnswerStore | None = None,
+    invalidate: bool = False,
+    limits: Limits | None = None,
+    run: str | None = None,
+) -> Run:
     """Add field ``prompt.name``. Rows that have it pass through unless ``reprocess``; ``limit`` bounds new rows.
 
-    ``cache`` (prompt_hash, response) is asked before the annotator; one answer serves equal prompts.
+    ``cache`` (prompt_hash, response; of repeated hashes the largest response) and then ``store`` are asked
+    before the annotator, and one answer serves equal prompts. With a store the new answers are written
+    to it (under ``run``) before anything is returned, so none is asked for twice; ``invalidate`` asks for
+    all again and lets the new answers win. With ``limits`` each prompt is a call of its own within
+    them, and a call that fails leaves a rejected row with its ``_error``.
     """
     done = df.schema.fieldNames().count(prompt.name) > 0 and not reprocess
     passed = df.where(F.col(prompt.name).isNotNull()) if done else None
@@ -120,22 +142,44 @@ def annotate(df: DataFrame, prompt: Prompt, content: str, annotator: Annotator =
         for f in frames:
             for lo in range(0, len(f), batch):
                 part = f.iloc[lo : lo + batch]
-                yield pd.DataFrame({"_hash": part["_hash"], "_response": annotator(part["_prompt"].tolist(), schema)})
+                yield pd.DataFrame({"_hash": part["_hash"], "_response": annotator(part["_prompt"].tolist(), schema), "_error": None})
 
-    new = asked.select("_hash", "_prompt").dropDuplicates(["_hash"])
+    wanted = asked.select("_hash", "_prompt").where("_prompt is not null").dropDuplicates(["_hash"])
     known = None
     if cache is not None:
-        known = cache.select(F.col("prompt_hash").alias("_hash"), F.col("response").alias("_response"))
-        new = new.join(known, "_hash", "left_anti")
-    answers = new.mapInPandas(call, "_hash string, _response string")
+        known = cache.where("prompt_hash is not null").groupBy("prompt_hash").agg(F.max("response").alias("response"))
+    if store is not None and not invalidate:
+        stored = store.read()
+        known = stored if known is None else known.unionByName(stored.join(known, "prompt_hash", "left_anti"))
+    new = wanted
+    if known is not None:
+        known = known.select(F.col("prompt_hash").alias("_hash"), F.col("response").alias("_response"), F.lit(None).cast("string").alias("_error")).join(wanted.select("_hash"), "_hash", "left_semi")
+        new = wanted.join(known, "_hash", "left_anti")
+    if limits is not None:
+        answers = call_all(new, lambda text: annotator([text], schema)[0], limits)
+    else:
+        answers = new.mapInPandas(call, "_hash string, _response string, _error string")
+    if store is not None:
+        answers = _stored(answers, store, run)
     if known is not None:
         answers = answers.unionByName(known)
     parsed = F.from_json("_response", prompt.schema)
-    scored = asked.join(answers, "_hash").withColumn(prompt.name, parsed)
+    scored = asked.join(answers, "_hash", "left").withColumn(prompt.name, parsed)
     good = F.col(prompt.name).isNotNull() & F.col(f"{prompt.name}.{prompt.schema.names[-1]}").isNotNull()
-    rows = scored.where(good).drop("_prompt", "_hash", "_response")
+    rows = scored.where(good).drop("_prompt", "_hash", "_response", "_error")
     if prompt.postprocess:
         rows = rows.withColumn(prompt.name, prompt.postprocess(F.col(prompt.name)))
     if passed is not None:
         rows = rows.unionByName(passed, allowMissingColumns=True)
-    return Run(rows, scored.where(~F.coalesce(good, F.lit(False))).select(*todo.columns, "_response"))
+    return Run(rows, scored.where(~F.coalesce(good, F.lit(False))).select(*todo.columns, "_response", "_error"))
+
+
+def _stored(answers: DataFrame, store: AnswerStore, run: str | None) -> DataFrame:
+    """The answers after they were asked for once: responses go to the store, errors beside it."""
+    spark = store.spark
+    place = f"{store.path}/asked-{uuid.uuid4().hex}"
+    answers.write.parquet(place)
+    told = spark.read.schema("_hash string, _response string, _error string").parquet(place)
+    if not told.where("_response is not null").isEmpty():
+        store.append(told.select(F.col("_hash").alias("prompt_hash"), F.col("_response").alias("response")), run)
+    return told

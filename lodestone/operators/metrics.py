@@ -1,7 +1,8 @@
 """Classification, ranking, regression and calibration metrics as plans over counts.
 
-Everything reduces to a grouped table (of label pairs, or of distinct scores) before it is ordered,
-so running sums are over distinct values and not over rows.
+Everything reduces to a grouped table (of label pairs, or of distinct scores) before it is ordered.
+Running sums and rank statistics of many different values go range by range
+(:mod:`lodestone.operators.ordered`).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import MEDIAN, at_positions, boundaries, concordance, median, running
+
 
 def argmax(probabilities: str) -> Column:
     """The first index of the largest element, from 0."""
@@ -36,8 +39,8 @@ def macro(per_class: DataFrame) -> DataFrame:
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """``auc``: the share of (positive, negative) pairs in order, ties counting half; null without both."""
     g = df.groupBy(F.col(score).alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    below = F.sum("n").over(Window.orderBy("s")) - F.col("n")
-    parts = g.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("u"))
+    below = F.col("upto_n") - F.col("n")
+    parts = running(g, "s", ["n"]).select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("u"))
     return parts.agg(F.try_divide(F.sum("u"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
@@ -48,14 +51,13 @@ def auc_with_ties(df: DataFrame, score: str, rank: str) -> DataFrame:
     """
     cells = df.groupBy(F.col(score).alias("s"), F.col(rank).alias("r")).agg(F.count("*").alias("n"))
     classes = cells.select("r").distinct()
-    upto = Window.partitionBy("k", "mode").orderBy("s")
 
     def judged(mode: str, k: DataFrame, keep: Column, positive: Column) -> DataFrame:
         return cells.crossJoin(F.broadcast(k.select(F.col("r").alias("k")))).where(keep).groupBy("k", "s").agg(F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(F.col("n"))).alias("q")).withColumn("mode", F.lit(mode))
 
     cumulative = judged("cumulative", classes, F.lit(True), F.col("r") >= F.col("k"))
     adjacent = judged("adjacent", classes, F.col("r").isin(F.col("k"), F.col("k") - 1), F.col("r") == F.col("k"))
-    g = cumulative.unionByName(adjacent).withColumn("below", F.sum("q").over(upto) - F.col("q"))
+    g = running(cumulative.unionByName(adjacent), "s", ["q"], by=["k", "mode"], edges=boundaries(cells, "s")).withColumn("below", F.col("upto_q") - F.col("q"))
     each = g.groupBy("mode", "k").agg(F.sum("p").alias("P"), F.sum("q").alias("Q"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u")).where("P > 0 and Q > 0").withColumn("auc", F.col("u") / (F.col("P").cast("double") * F.col("Q")))
     cum = F.col("mode") == "cumulative"
     return each.agg(F.avg(F.when(cum, F.col("auc"))).alias("macro"), F.try_divide(F.sum(F.when(cum, F.col("auc") * F.col("P"))), F.sum(F.when(cum, F.col("P")))).alias("weighted"), F.avg(F.when(~cum, F.col("auc"))).alias("ordinal"))
@@ -64,7 +66,7 @@ def auc_with_ties(df: DataFrame, score: str, rank: str) -> DataFrame:
 def _average_ranks(df: DataFrame, column: str) -> DataFrame:
     """``value, rank``: average rank of each distinct value."""
     g = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return g.select("value", (F.sum("n").over(Window.orderBy("value")) - (F.col("n") - 1) / 2).alias("rank"))
+    return running(g.where("value is not null"), "value", ["n"]).select("value", (F.col("upto_n") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -73,13 +75,13 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def rank_correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``n, pearson, spearman, kendall``: tau-b from the table of (a, b) counts, b having few values."""
-    df = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    """``n, pearson, spearman, kendall``: tau-b from the table of (a, b) counts. Rows without a or b do not count."""
+    df = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null")
     a, b = "_a", "_b"
     x = _average_ranks(df, a).select(F.col("value").alias(a), F.col("rank").alias("ra"))
     y = _average_ranks(df, b).select(F.col("value").alias(b), F.col("rank").alias("rb"))
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    ranked = cells.join(x, a).join(F.broadcast(y), b)
+    ranked = cells.join(x, a).join(y, b)
     n = F.col("n").cast("double")
 
     def weighted(u: Column, v: Column) -> Column:
@@ -89,18 +91,13 @@ def rank_correlations(df: DataFrame, a: str, b: str) -> DataFrame:
         return F.coalesce(F.try_divide(cov, F.sqrt(var(u) * var(v))), F.lit(0.0))
 
     moments = ranked.agg(F.sum("n").alias("n"), weighted(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"), weighted(F.col("ra"), F.col("rb")).alias("spearman"))
-    # Concordant minus discordant: for each pair of b classes, a's order by running counts.
-    low, high = cells.select(F.col(a).alias("s"), F.col(b).alias("c"), "n"), cells.select(F.col(b).alias("k")).distinct()
-    g = low.crossJoin(F.broadcast(high)).groupBy("k", "s").agg(F.sum(F.when(F.col("c") == F.col("k"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("c") < F.col("k"), F.col("n")).otherwise(0)).alias("q"))
-    w = Window.partitionBy("k")
-    g = g.withColumns({"upto": F.sum("q").over(w.orderBy("s")), "all": F.sum("q").over(w)})
-    net = g.agg(F.sum((F.col("p") * (2 * F.col("upto") - F.col("q") - F.col("all"))).cast("double")).alias("net"))
+    net = concordance(cells, a, b, "n")
     pairs = lambda c: F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("double")).alias(c)
     ta = df.groupBy(a).agg(F.count("*").alias("n")).agg(pairs("ta"))
     tb = df.groupBy(b).agg(F.count("*").alias("n")).agg(pairs("tb"))
     out = moments.crossJoin(net).crossJoin(ta).crossJoin(tb)  # one row each
     every = F.col("n") * (F.col("n") - 1) / 2
-    return out.select("n", "pearson", "spearman", F.coalesce(F.try_divide(F.col("net"), F.sqrt((every - F.col("ta")) * (every - F.col("tb")))), F.lit(0.0)).alias("kendall"))
+    return out.select("n", "pearson", "spearman", F.coalesce(F.try_divide(F.col("net").cast("double"), F.sqrt((every - F.col("ta")) * (every - F.col("tb")))), F.lit(0.0)).alias("kendall"))
 
 
 def two_sided_p(r: float, n: int) -> float:
@@ -149,8 +146,41 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def per_class(df: DataFrame, predicted: str, label: str) -> DataFrame:
+    """``n, mean, std, min, max, median`` of the predictions of each label."""
     p = F.col(predicted)
-    return df.groupBy(label).agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"), F.median(p).alias("median"))
+    base = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"))
+    middle = at_positions(df, predicted, MEDIAN, by=[label]).select(F.col(label), median().alias("median"))
+    both = base.join(middle, F.col("_label").eqNullSafe(F.col(label)), "left")
+    return both.select(F.col("_label").alias(label), "n", "mean", "std", "min", "max", "median")
+
+
+def one_vs_rest(df: DataFrame, probabilities: str, truth: str) -> DataFrame:
+    """``label, auc, positives``: the AUC of each class's probability (map of class to number) against all others.
+
+    A class that a row's map lacks has probability 0 there; rows without truth do not count. One
+    tie-aware pass over the table of (class, score) counts. A class without true rows, or with no
+    other rows, has no AUC.
+    """
+    df = df.where(F.col(truth).isNotNull())
+    classes = df.select(F.explode(F.map_keys(probabilities)).alias("c")).union(df.select(F.col(truth).cast("string"))).where("c is not null").distinct()
+    given = df.select(F.col(truth).cast("string").alias("t"), F.explode(probabilities).alias("c", "s")).withColumn("hit", F.col("c") == F.col("t"))
+    # Probability 0 where it is not given: what a class's counts lack of all rows and of its true rows.
+    cells = given.where("s is not null").groupBy("c", F.col("s").cast("double").alias("s")).agg(F.count_if("hit").alias("p"), F.count_if(~F.coalesce("hit", F.lit(False))).alias("q"))
+    seen = cells.groupBy("c").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    true = df.groupBy(F.col(truth).cast("string").alias("c")).agg(F.count("*").alias("p"))
+    rows = df.agg(F.count(truth).alias("rows"))
+    rest = classes.join(seen, "c", "left").join(true.withColumnRenamed("p", "all_p"), "c", "left").crossJoin(F.broadcast(rows))  # rows is one row
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    absent = rest.select("c", F.lit(0.0).alias("s"), (zero("all_p") - zero("p")).alias("p"), (F.col("rows") - zero("all_p") - zero("q")).alias("q"))
+    whole = cells.unionByName(absent).groupBy("c", "s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    parts = running(whole, "s", ["q"], by=["c"]).select("c", "p", "q", (F.col("p") * (F.col("upto_q") - F.col("q") / 2)).alias("u"))
+    auc = F.try_divide(F.sum("u"), F.sum("p").cast("double") * F.sum("q"))
+    return parts.groupBy(F.col("c").alias("label")).agg(auc.alias("auc"), F.sum("p").alias("positives"))
+
+
+def macro_auc(per_label: DataFrame) -> DataFrame:
+    """``macro_auc``: the mean over the classes of :func:`one_vs_rest`; null if one has no AUC."""
+    return per_label.agg(F.when(F.count("auc") == F.count("*"), F.avg("auc")).alias("macro_auc"))
 
 
 def prediction_range(df: DataFrame, predicted: str) -> DataFrame:

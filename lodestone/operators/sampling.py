@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import numbered, running
+
 
 def unit(seed: int, key: str | Column) -> Column:
     """A number in [0, 1) by seed and row id."""
@@ -73,16 +75,48 @@ def file_quota(df: DataFrame, quota: int, key: str, file: str, seed: int = 42) -
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= quota).drop("_rank")
 
 
-def positions(df: DataFrame, key: str, seed: int = 42, out: str = "position") -> DataFrame:
-    """A shuffled position for each row, from 0: range partitions are counted, then numbered from prefix sums.
+def allotment(files: DataFrame, total: int) -> DataFrame:
+    """``file, size, quota``: ``total`` shared out in proportion to ``size`` by largest remainders (then by name).
+
+    The quotas add up to ``total`` unless all sizes are 0. ``files`` has a row a file.
+    """
+    whole = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_all"))
+    exact = files.crossJoin(F.broadcast(whole)).where("_all > 0")  # whole is one row
+    # Integers throughout: floor(total * size / all) and its remainder.
+    product = F.col("size").cast("decimal(38,0)") * F.lit(total).cast("decimal(19,0)")
+    parts = exact.select("file", "size", "_all", product.cast("decimal(38,0)").alias("_p"))
+    parts = parts.select("file", "size", F.floor(F.col("_p") / F.col("_all")).cast("long").alias("_f"), (F.col("_p") % F.col("_all")).cast("decimal(38,0)").alias("_r"))
+    left = parts.agg((F.lit(total) - F.coalesce(F.sum("_f"), F.lit(0))).alias("_left"))
+    ranked = numbered(parts.withColumn("_down", -F.col("_r")), "_down", ["file"], out="_rank").crossJoin(F.broadcast(left))
+    return ranked.select("file", "size", (F.col("_f") + F.when(F.col("_rank") < F.col("_left"), 1).otherwise(0)).alias("quota"))
+
+
+def proportional_rows(df: DataFrame, files: DataFrame, total: int, key: str, file: str, seed: int = 42) -> DataFrame:
+    """``total`` rows, each file's number in proportion to its size: the first of the file in hash order.
 
-    No partition holds more than its range; the driver sees a count for each.
+    A file with fewer rows than its quota gives all it has.
     """
-    ordered = df.withColumn("_u", unit(seed, key)).repartitionByRange(F.col("_u"), F.col(key)).sortWithinPartitions("_u", key)
-    numbered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return numbered.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_i")).drop("_u", "_p", "_i", "_before")
+    quotas = allotment(files, total).select(F.col("file").alias("_file"), "quota")
+    hashed = df.withColumn("_u", unit(seed, key))
+    ranked = numbered(hashed, "_u", [key], by=[file], out="_rank")
+    return ranked.join(quotas, ranked[file] == quotas["_file"]).where("_rank < quota").select(*df.columns)
+
+
+def byte_budget(df: DataFrame, files: DataFrame, target: int, key: str, size: Column, file: str, seed: int = 42) -> DataFrame:
+    """About ``target`` bytes: each file's budget is in proportion to its size, and its rows are kept in hash order
+    while what was kept before stays under the budget. A file within its budget is kept whole.
+    """
+    budgets = allotment(files, target).select(F.col("file").alias("_file"), "size", F.col("quota").alias("_budget"))
+    hashed = df.withColumns({"_u": unit(seed, key), "_size": size.cast("long")})
+    # Rows of one hash are peers: they are kept or left together, so the order is by hash alone.
+    upto = running(hashed, "_u", ["_size"], by=[file])
+    kept = upto.join(budgets, upto[file] == budgets["_file"]).where((F.col("size") <= F.col("_budget")) | (F.col("upto__size") - F.col("_size") < F.col("_budget")))
+    return kept.select(*df.columns)
+
+
+def positions(df: DataFrame, key: str, seed: int = 42, out: str = "position") -> DataFrame:
+    """A shuffled position for each row, from 0: in the order of its hash number, range by range."""
+    return numbered(df.withColumn("_u", unit(seed, key)), "_u", [key], out=out).drop("_u")
 
 
 def allotted(total: int, size: float | int) -> int:

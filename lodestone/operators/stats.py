@@ -1,7 +1,7 @@
 """Order statistics by position, distributions, buckets, and (weighted) percentiles.
 
-Positions are found over the table of distinct values with running counts, which is far smaller than
-the rows where values repeat; the driver never holds the values.
+Positions and running sums are found range by range (:mod:`lodestone.operators.ordered`), so neither a
+task nor the driver holds a column's values.
 """
 
 from __future__ import annotations
@@ -11,28 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERCENTS = (10, 25, 50, 75, 90)
-
-
-def running(df: DataFrame, value: str) -> DataFrame:
-    """``value, n, upto, total``: distinct values with running counts."""
-    w = Window.orderBy("value")
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+from lodestone.operators.ordered import MEDIAN, at_positions, median, running
 
-
-def at_positions(df: DataFrame, value: str, wanted: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row: for each (name, SQL of a position from 0 over ``total``) the value there in sorted order."""
-    picks = [F.min(F.when(F.col("upto") > F.expr(sql), F.col("value"))).alias(name) for name, sql in wanted]
-    return running(df, value).agg(*picks)
+PERCENTS = (10, 25, 50, 75, 90)
 
 
 def value_statistics(df: DataFrame, value: str, percents: Sequence[int] = PERCENTS) -> DataFrame:
     """Count, mean, sample deviation, extremes, median and positional percentiles."""
     v = F.col(value)
-    base = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"))
-    placed = at_positions(df, value, [(f"p{p}", f"least(cast(floor(total * {p} / 100) as long), total - 1)") for p in percents])
-    return base.crossJoin(placed)  # one row each
+    base = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    placed = at_positions(df, value, [*MEDIAN, *((f"p{p}", f"least(cast(floor(total * {p} / 100) as long), total - 1)") for p in percents)])
+    return base.crossJoin(placed.select(median().alias("median"), *(f"p{p}" for p in percents)))  # one row each
 
 
 def distribution(df: DataFrame, label: str, ordinal: bool = True) -> DataFrame:
@@ -86,9 +75,15 @@ def quantile_buckets(df: DataFrame, value: str, buckets: int = 10) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, percents: Sequence[float]) -> DataFrame:
     """``percent, value`` with linear interpolation; null and non-numeric values are skipped."""
-    ps = F.array(*(F.lit(p / 100.0) for p in percents))
-    one = df.select(F.col(value).try_cast("double").alias("v")).agg(F.percentile("v", ps).alias("x"))
-    return one.select(F.explode(F.arrays_zip(F.array(*(F.lit(float(p)) for p in percents)).alias("percent"), F.col("x").alias("value"))).alias("z")).select("z.percent", "z.value")
+    numbers = df.select(F.col(value).try_cast("double").alias("v"))
+    wanted = [(f"{side}{i}", f"cast({side}((total - 1) * {p / 100.0!r}D) as long)") for i, p in enumerate(percents) for side in ("floor", "ceil")]
+    row = at_positions(numbers, "v", [*wanted, ("n", "0")]).crossJoin(numbers.agg(F.count("v").alias("total")))  # one row each
+
+    def between(i: int, p: float) -> Column:
+        low, high, part = F.col(f"floor{i}"), F.col(f"ceil{i}"), (F.col("total") - 1) * F.lit(p / 100.0)
+        return F.when(low == high, low).otherwise(low * (F.ceil(part) - part) + high * (part - F.floor(part)))
+
+    return row.select(F.explode(F.array(*(F.struct(F.lit(float(p)).alias("percent"), between(i, p).alias("value")) for i, p in enumerate(percents)))).alias("z")).select("z.percent", "z.value")
 
 
 def weighted_percentiles(df: DataFrame, value: str, weight: str, percents: Sequence[float]) -> DataFrame:
@@ -97,15 +92,20 @@ def weighted_percentiles(df: DataFrame, value: str, weight: str, percents: Seque
     Rows of one value are one point that has their whole weight.
     """
     rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(F.col(value).cast("double").alias("v")).agg(F.sum(weight).alias("w"))
-    w = Window.orderBy("v")
-    total = F.sum("w").over(Window.partitionBy(F.lit(0)))
-    cum = F.sum("w").over(w)
-    points = rows.select("v", (100.0 * (cum - F.col("w") / 2) / total).alias("mid"))
-    nxt = points.withColumns({"mid2": F.lead("mid").over(w), "v2": F.lead("v").over(w), "first": F.row_number().over(w) == 1})
-    wanted = df.sparkSession.createDataFrame([(float(p),) for p in percents], "percent double")
-    hit = nxt.join(F.broadcast(wanted), ((F.col("mid") <= F.col("percent")) & (F.col("percent") < F.coalesce("mid2", F.lit(1e9)))) | (F.col("first") & (F.col("percent") < F.col("mid"))))
-    inside = (F.col("percent") >= F.col("mid")) & F.col("mid2").isNotNull()
-    return hit.select("percent", F.when(inside, F.col("v") + (F.col("v2") - F.col("v")) * (F.col("percent") - F.col("mid")) / (F.col("mid2") - F.col("mid"))).otherwise(F.col("v")).alias("value"))
+    whole = rows.agg(F.sum("w").alias("total"))
+    mid = 100.0 * (F.col("upto_w") - F.col("w") / 2) / F.col("total")
+    points = running(rows, "v", ["w"]).crossJoin(F.broadcast(whole)).select("v", mid.alias("mid"))  # whole is one row
+    # The last point at or below each percent and the first above it.
+    point = F.struct("mid", "v")
+    ends = [f(F.when(ok, point)).alias(f"{name}{i}") for i, p in enumerate(percents) for f, ok, name in ((F.max, F.col("mid") <= p, "low"), (F.min, F.col("mid") > p, "high"))]
+    one = points.agg(*ends)
+
+    def at(i: int, p: float) -> Column:
+        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+        inside = low["v"] + (high["v"] - low["v"]) * (p - low["mid"]) / (high["mid"] - low["mid"])
+        return F.when(low.isNull(), high["v"]).when(high.isNull(), low["v"]).otherwise(inside)
+
+    return one.select(F.explode(F.array(*(F.struct(F.lit(float(p)).alias("percent"), at(i, float(p)).alias("value")) for i, p in enumerate(percents)))).alias("z")).select("z.percent", "z.value").where("value is not null")
 
 
 def weighted_moments(df: DataFrame, value: str, weight: str) -> DataFrame:
@@ -118,5 +118,6 @@ def weighted_moments(df: DataFrame, value: str, weight: str) -> DataFrame:
 
 def dense_ranks(df: DataFrame, label: str) -> DataFrame:
     """``df`` with ``rank``: the place of its label among the distinct sorted labels, from 0."""
-    ranks = df.select(label).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(label)) - 1)
+    labels = df.select(label).distinct().where(F.col(label).isNotNull()).withColumn("_one", F.lit(1))
+    ranks = running(labels, label, ["_one"]).select(label, (F.col("upto__one") - 1).cast("int").alias("rank"))
     return df.join(ranks, label)

@@ -9,7 +9,7 @@ from lodestone.operators import annotate
 from lodestone.plans.registry import query
 from lodestone.plans.tables import table
 
-PROMPT = annotate.rubric("prose").register()
+PROMPT = annotate.PROSE
 _BODY = "regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '^ +| +$', '', 'g')"
 
 

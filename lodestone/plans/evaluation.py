@@ -54,6 +54,45 @@ def rank_correlations(spark, d):
     return out.select("n", *(F.round(c, 9).alias(c) for c in ("pearson", "spearman", "kendall")))
 
 
+_OTHER = "SELECT n_chars + (doc_id % 97) / 97.0 AS a, length(text) / (1.0 + doc_id % 13) AS b FROM documents"
+
+
+@query(f"""WITH s AS ({_OTHER}), r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM s),
+    k AS (SELECT sum(sign(x.a - y.a) * sign(x.b - y.b)) AS net, sum((x.a <> y.a)::INT) AS na, sum((x.b <> y.b)::INT) AS nb FROM s x, s y)
+    SELECT (SELECT count(*) FROM s) AS n, round((SELECT corr(a, b) FROM r), 9) AS pearson, round((SELECT corr(ra, rb) FROM r), 9) AS spearman, round(net / sqrt(na::DOUBLE * nb::DOUBLE), 9) AS kendall FROM k""")
+def rank_correlations_of_numbers(spark, d):
+    """Correlations of two columns that hardly repeat a value."""
+    df = table(spark, d, "documents").select(F.expr("n_chars + (doc_id % 97) / 97D").alias("a"), F.expr("length(text) / (1D + doc_id % 13)").alias("b"))
+    out = metrics.rank_correlations(df, "a", "b")
+    return out.select("n", *(F.round(c, 9).alias(c) for c in ("pearson", "spearman", "kendall")))
+
+
+#: Probabilities of four classes, the last of which no document has; class 1 lacks some.
+_CLASSES = {"0": "(n_chars % 11) / 11", "1": "CASE WHEN doc_id % 4 > 0 THEN (n_chars % 7) / 7 END", "2": "(length(source) * n_chars % 29) / 29", "3": "(doc_id % 5) / 5"}
+_GIVEN = " UNION ALL ".join(f"SELECT {GRADE} = {c} AS hit, '{c}' AS label, coalesce(({p})::DOUBLE, 0) AS s FROM documents" for c, p in _CLASSES.items())
+_OVR = f"""WITH g AS ({_GIVEN}), r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY s) + (count(*) OVER (PARTITION BY label, s) - 1) / 2.0 AS r FROM g),
+    t AS (SELECT label, count_if(hit)::BIGINT AS positives, count_if(NOT hit) AS q, sum(CASE WHEN hit THEN r END) AS sr FROM r GROUP BY 1)
+    SELECT label, round((sr - positives * (positives + 1) / 2.0) / nullif(positives * q, 0), 9) AS auc, positives FROM t"""
+
+
+def _probabilities(spark, d):
+    pairs = ", ".join(f"'{c}', cast({p} as double)" for c, p in _CLASSES.items())
+    df = table(spark, d, "documents").select(F.expr(GRADE).alias("grade"), F.expr(f"map({pairs})").alias("p"))
+    return df.select("grade", F.map_filter("p", lambda k, v: v.isNotNull()).alias("p"))
+
+
+@query(_OVR)
+def one_vs_rest_auc(spark, d):
+    """The AUC of each class's probability against the other classes."""
+    return metrics.one_vs_rest(_probabilities(spark, d), "p", "grade").withColumn("auc", F.round("auc", 9))
+
+
+@query(f"SELECT round(avg(auc), 9) AS macro_auc FROM ({_OVR}) WHERE label <> '3'")
+def macro_auc(spark, d):
+    df = _probabilities(spark, d).withColumn("p", F.map_filter("p", lambda k, v: k != "3"))
+    return metrics.macro_auc(metrics.one_vs_rest(df, "p", "grade")).withColumn("macro_auc", F.round("macro_auc", 9))
+
+
 @query(f"""SELECT round(mse, 9) AS mse, round(sqrt(mse), 9) AS rmse, round(mae, 9) AS mae, round(1 - mse / v, 9) AS r2 FROM (SELECT avg((score - grade / 2.0) ** 2) AS mse, avg(abs(score - grade / 2.0)) AS mae, var_pop(grade / 2.0) AS v FROM {SCORED})""")
 def regression_metrics(spark, d):
     return metrics.regression(scored(spark, d), "score", F.col("grade") / 2.0).select(*(F.round(c, 9).alias(c) for c in ("mse", "rmse", "mae", "r2")))

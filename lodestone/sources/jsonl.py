@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +29,13 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> list
 
 
 def read_lines(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """``value, file``: raw lines, not parsed."""
+    """``value, file, at``: raw lines, not parsed; ``at`` orders the lines of a file."""
     files = list_files(spark, folder, recursive)
     packed = [f for f in files if f.endswith((".zst", ".zstd"))]
     plain = [f for f in files if f not in set(packed)]
     out = _zstd_lines(spark, packed)
     if plain:
-        out = out.unionByName(spark.read.text(plain).select("value", F.col("_metadata.file_path").alias("file")))
+        out = out.unionByName(spark.read.text(plain).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")))
     return out
 
 
@@ -54,14 +53,16 @@ def _zstd_lines(spark: SparkSession, files: list[str]) -> DataFrame:
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
-                with system.open_input_stream(path) as f, zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as raw:
-                    lines = io.TextIOWrapper(raw, encoding="utf-8", newline="\n")
+                with system.open_input_stream(path, compression=None) as f, zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as raw:
+                    lines, row = io.TextIOWrapper(raw, encoding="utf-8", newline="\n"), 0
                     while chunk := lines.readlines(4 << 20):
                         values = [x.removesuffix("\n").removesuffix("\r") for x in chunk]
-                        yield pa.RecordBatch.from_pydict({"value": values, "file": [file] * len(values)})
+                        at = pa.StructArray.from_arrays([pa.array([0] * len(values), pa.int64()), pa.array(range(row, row + len(values)), pa.int64())], ["block", "row"])
+                        row += len(values)
+                        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array([file] * len(values)), at], ["value", "file", "at"])
 
     names = spark.createDataFrame([(f,) for f in files], "file string")
-    return names.repartition(max(1, min(len(files), 10_000)), "file").mapInArrow(run, "value string, file string")
+    return names.repartition(max(1, min(len(files), 10_000)), "file").mapInArrow(run, "value string, file string, at struct<block: long, row: long>")
 
 
 def read_jsonl(spark: SparkSession, folder: str, schema: T.StructType | str, tolerant: bool = False) -> DataFrame:
@@ -89,40 +90,14 @@ def read_dataset(spark: SparkSession, folders: list[str], schema: T.StructType |
 
 
 def write_jsonl(df: DataFrame, folder: str, max_rows: int = 100_000, zstd: bool = True) -> list[str]:
-    """``shard_*.jsonl.zst`` (or .gz) of at most ``max_rows``; each task names its own, and returns the names it closed."""
+    """``shard_*.jsonl.zst`` (or .gz) of at most ``max_rows``; the names of all. Safe under retries (see ``sinks``)."""
     if not zstd:
         df.write.mode("append").option("maxRecordsPerFile", max_rows).option("compression", "gzip").json(folder)
         return list_files(df.sparkSession, folder)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import zstandard
-        from pyarrow import fs
+    from lodestone.sources import sinks
 
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        sink, rows, names = None, 0, []
-
-        def close() -> None:
-            nonlocal sink
-            if sink:
-                sink.close()
-                sink = None
-
-        for batch in batches:
-            for line in batch.column(0).to_pylist():
-                if sink is None or rows >= max_rows:
-                    close()
-                    name = f"shard_{uuid.uuid4().hex}.jsonl.zst"
-                    names.append(f"{folder}/{name}")
-                    sink, rows = zstandard.ZstdCompressor().stream_writer(system.open_output_stream(f"{root}/{name}"), closefd=True), 0
-                sink.write(line.encode() + b"\n")
-                rows += 1
-        close()
-        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
-
-    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    return [r.name for r in lines.mapInArrow(run, "name string").collect()]
+    return [f"{folder}/{w.name}" for w in sinks.write_dealt(df.select(sinks.json_line(df).alias("value")), folder, max_rows)]
 
 
 def write_by_split(df: DataFrame, folder: str, max_rows: int = 100_000) -> dict[str, list[str]]:
