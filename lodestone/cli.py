@@ -13,11 +13,14 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import lodestone
+from lodestone import display
 from lodestone.functions import jq
 from lodestone.functions import text as X
-from lodestone.operators import annotate, calibration, compare, metrics, models, rows, sampling, stats
+from lodestone.operators import annotate, calibration, compare, metrics, models, networks, rows, sampling, stats
 from lodestone.operators.answers import AnswerStore, Limits
-from lodestone.sources import jsonl, sinks
+from lodestone.sources import jsonl, loaders, sinks
+from lodestone.sources.loaders import inferred
 
 
 def number(text: str) -> float | int:
@@ -26,14 +29,20 @@ def number(text: str) -> float | int:
     return int(value) if value == int(value) else value
 
 
-def inferred(spark: SparkSession, folder: str, placed: bool = False) -> DataFrame:
-    """All lines of ``folder`` with the fields they have, and ``split`` and ``file``; ``_at``, a line's place, if ``placed``."""
-    lines = jsonl.read_lines(spark, folder)
-    strings = getattr(lines.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-    schema = DataFrame(spark._jsparkSession.read().json(strings), spark).schema
-    split = F.regexp_extract("file", r"/(train|test|valid)/[^/]*$", 1)
-    at = [F.col("at").alias("_at")] if placed else []
-    return lines.select(F.from_json("value", schema).alias("r"), "file", split.alias("split"), *at).select("r.*", "file", "split", *(["_at"] if placed else []))
+def dimensions(text: str) -> int | float | str:
+    """``auto`` or a number."""
+    return "auto" if text.lower() == "auto" else number(text)
+
+
+def checked(spark: SparkSession, path: str, folder: bool | None = None) -> str:
+    """``path``, if it is there, and a folder or a file where that matters; in any store that Hadoop reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        raise FileNotFoundError(path)
+    if folder is not None and system.getFileStatus(place).isDirectory() != folder:
+        raise NotADirectoryError(path) if folder else IsADirectoryError(path)
+    return path
 
 
 def expression(df: DataFrame, field: str | None, text: str | None, default: str):
@@ -73,7 +82,34 @@ def keyed(df: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> object:
+    """Do the command; what it returns is printed, and written as YAML where ``--results`` names a folder."""
+    if getattr(a, "input", None):
+        for place in a.input.split(","):
+            checked(spark, place)
+    for option, folder in (("model", True), ("vocabulary", False)):
+        if getattr(a, option, None):
+            checked(spark, getattr(a, option), folder)
+    out = _run(spark, a)
+    if out is not None and getattr(a, "results", None):
+        sinks.write_results(spark, a.results, jsonl.to_yaml(out))
+    return out
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> object:
     c = a.command
+    if c == "version":
+        return lodestone.__version__
+    if c == "distil":
+        vectors = spark.read.parquet(a.input)
+        if a.vocabulary:
+            vectors = vectors.join(loaders.vocabulary(spark, a.vocabulary), "token", "left_semi")
+        counts = vectors.select("token", "n") if "n" in vectors.columns else vectors.select("token", F.lit(1).alias("n"))
+        out = models.distil(vectors.select("token", "vector"), counts, sif=a.sif, dimensions=a.dimensions)
+        if a.quantize:
+            out, step = models.quantized(out)
+            sinks.write_text(spark, f"{a.output}-step.yaml", jsonl.to_yaml({"step": step}, digits=12))
+        out.write.mode("overwrite").parquet(a.output)
+        return None
     if c == "import-dataset":
         df = spark.read.format(a.format).load(a.input)
         df = keyed(df.withColumn("file", F.input_file_name())).drop("file") if not a.key else df.withColumn("_id", F.col(a.key))
@@ -92,7 +128,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         if a.bins:
             edges = stats.bin_edges(df.where("split = 'train'").withColumn("v", F.col("label").cast("double")), "v", a.bins)
             df = df.withColumn("label", F.concat(F.lit("bin"), stats.bin_of(F.col("label").cast("double"), edges).cast("string")))
-        jsonl.write_lines(rows.render_lines(df, "text", "label", a.normalizer, a.max_length), a.output)
+        lines = rows.render_lines(df, "text", "label", a.normalizer, a.max_length)
+        if a.single_file:
+            sinks.write_named(lines.where("split <> ''").withColumn("name", F.concat("split", F.lit(".txt"))), a.output)
+        else:
+            jsonl.write_lines(lines, a.output)
+        counts = {r.split: r["count"] for r in df.groupBy("split").count().orderBy("split").collect()}
+        said = {"input_dir": a.input, "output_dir": a.output, "text_expression": a.text_expression or f".{a.text_field or 'text'}", "label_expression": a.label_expression or f".{a.label_field or 'score'}", "normalization": a.normalizer, "max_length": a.max_length, "num_rows": counts}
+        if a.bins:
+            said["auto_bins"] = {"num_bins": a.bins, "bin_edges": edges, "bin_labels": [f"bin{i}" for i in range(a.bins)]}
+        sinks.write_text(spark, f"{a.output}/report.yaml", jsonl.to_yaml(said))
     elif c == "balance-dataset":
         df = keyed(inferred(spark, a.input).withColumn("_label", F.lit(None)))
         df = df.withColumn("_label", expression(df, a.label_field, a.label_expression, ".score").cast("string"))
@@ -121,7 +166,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         sinks.write_numbered(out, a.output, "split", "shard", a.files, "position")
     elif c == "train-ngrams":
         df = strict(inferred(spark, a.input), a).where("split = 'train'").withColumn("label", F.col("label").cast("string"))
-        models.save(models.train_ngrams(df, n=a.ngrams, buckets=a.buckets, epochs=a.epochs, loss=a.loss), a.output, vars(a))
+        models.save(models.train_ngrams(df, n=a.ngrams, buckets=a.buckets, epochs=a.epochs, loss=a.loss, balanced=a.balanced, min_count=a.min_count, characters=(a.min_characters, a.max_characters) if a.max_characters else None), a.output, vars(a))
     elif c in ("infer-ngrams", "eval-ngrams"):
         from pyspark.ml import PipelineModel
 
@@ -133,6 +178,21 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         body = expression(df, a.text_field, a.text_expression, ".text").cast("string")
         scored = models.infer(df.withColumn("_text", body).withColumnRenamed("text", "_old").withColumnRenamed("_text", "text"), model, "_label", "_p")
         put_like(rows.write_back(scored.drop("text").withColumnRenamed("_old", "text"), a.name, F.col("_p")).drop("_p"), a)
+    elif c in ("train-head", "eval-head"):
+        df = keyed(strict(inferred(spark, a.input), a)).where(F.col("split") == ("train" if c == "train-head" else "test"))
+        words = df.select("_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("token")).where("token <> ''")
+        pooled = models.pooled_embeddings(words, spark.read.parquet(a.vectors), "_id").join(df.select("_id", "label"), "_id")
+        if c == "train-head":
+            hidden = tuple(int(n) for n in a.hidden.split(",") if n)
+            head = networks.train_head(pooled, "pooled", "label", "_id", a.kind, hidden, a.learning_rate, a.batches, a.epochs, a.patience, held=a.held, balanced=a.balanced, seed=a.seed)
+            head.save(spark, a.output)
+            return {"passes": len(head.history), "loss": min(head.history)}
+        head = networks.Head.load(spark, a.model)
+        scored = networks.evaluate_head(pooled, head, "pooled", "label")
+        if head.kind == "number":
+            return metrics.regression(scored, "prediction", F.col("label").cast("double")).first().asDict()
+        per = metrics.report(scored, "label", "prediction").join(metrics.one_vs_rest(scored, "probabilities", "label").select("label", "auc"), "label", "left")
+        return jsonl.results(per, metrics.macro(per))
     elif c == "annotate-dataset":
         prompt = annotate.PROMPTS.get(a.prompt) or annotate.rubric(a.prompt)
         limits = Limits(a.max_requests_per_minute, a.max_tokens_per_minute, a.max_concurrent_requests, a.max_new_tokens)
@@ -161,8 +221,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         truth = F.col("rank") / top
         if c == "eval-calibration":
             ranked = ranked.withColumn("_s", expression(df, None, a.prediction_expression, ".prediction").cast("double"))
-            out = {"auc": metrics.auc_with_ties(ranked, "_s", "rank"), "correlation": metrics.rank_correlations(ranked, "_s", "rank"), "regression": metrics.regression(ranked, "_s", truth), "calibration": metrics.calibration_error(metrics.reliability(ranked, "_s", truth, a.bins))}
-            return {k: v.first().asDict() for k, v in out.items()}
+            bins = metrics.reliability(ranked, "_s", truth, a.bins)
+            out = {"auc": metrics.auc_with_ties(ranked, "_s", "rank"), "correlation": metrics.rank_correlations(ranked, "_s", "rank"), "regression": metrics.regression(ranked, "_s", truth), "calibration": metrics.calibration_error(bins)}
+            each = {k: v.first().asDict() for k, v in out.items()}
+            return {**each, "bins": [r.asDict() for r in bins.orderBy("bin").collect()]} if a.show else each
         ranked = ranked.withColumn("_m", expression(df, None, a.prediction_expression, ".prediction"))
         kind = ranked.schema["_m"].dataType.simpleString()
         if kind.startswith("struct"):
@@ -173,7 +235,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         score = metrics.regression(wide.withColumn("_s", calibration.clipped(fit)), "_s", F.col("_t"))
         return {"weights": dict(zip(fit.names, fit.weights)), "bias": fit.bias, "expression": fit.expression(), "metrics": score.first().asDict()}
     elif c == "compare":
-        one, two = (inferred(spark, f).withColumn("_order", F.struct("file", F.monotonically_increasing_id())) for f in a.input.split(","))
+        folders = a.input.split(",")
+        one, two = (inferred(spark, f, placed=True).withColumn("_order", F.struct("file", "_at")) for f in folders)
+        if a.output:
+            bare = lambda df: df.withColumn("_o", F.col("_order")).drop("file", "split", "_at", "_order")
+            diff = compare.keyed_diff(bare(one), bare(two), a.text_field or "text", a.value, "_o")
+            sinks.write_disagreements(diff.withColumns({r: F.col(r).dropFields("_o") for r in ("row1", "row2")}), a.output, tuple(f.rstrip("/").rsplit("/", 1)[-1] for f in folders))
         return compare.diff_statistics(one, two, a.text_field or "text", a.value, "_order").first().asDict()
     elif c == "percentiles":
         df = inferred(spark, a.input)
@@ -198,20 +265,24 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(f"--{field}-field")
             s.add_argument(f"--{field}-expression")
         s.add_argument("--seed", type=int, default=42)
+        s.add_argument("--results")
+        s.add_argument("--show", action="store_true")
         for flag, extra in options:
             s.add_argument(flag, **extra)
 
     add("import-dataset", ("--format", {"default": "parquet"}), ("--key", {}), ("--test-split", {"type": float, "default": 0.1}), ("--rows-per-file", {"type": int, "default": 100_000}))
     add("transform-dataset", ("--text-transform", {"default": "{text: .text}"}), ("--label-transform", {"default": "{score: .score}"}))
     add("normalize-dataset", ("--normalizer", {"default": "plsfix"}))
-    add("convert-to-lines", ("--normalizer", {"default": "whitespace"}), ("--max-length", {"type": int}), ("--bins", {"type": int}))
+    add("convert-to-lines", ("--normalizer", {"default": "whitespace"}), ("--max-length", {"type": int}), ("--bins", {"type": int}), ("--single-file", {"action": "store_true"}))
     add("balance-dataset", ("--exact", {"action": "store_true"}))
     add("sample-dataset", ("--rate", {"type": float}), ("--target-size", {}), ("--by-file", {"action": "store_true"}))
     add("count-tokens", output=False)
     add("reshard-dataset", ("--files", {"type": int, "required": True}), ("--test", {"type": number, "default": 0}), ("--valid", {"type": number, "default": 0}))
-    add("train-ngrams", ("--ngrams", {"type": int, "default": 3}), ("--buckets", {"type": int, "default": 1 << 16}), ("--epochs", {"type": int, "default": 20}), ("--loss", {"choices": ["softmax", "ova"], "default": "softmax"}))
+    add("train-ngrams", ("--ngrams", {"type": int, "default": 3}), ("--buckets", {"type": int, "default": 1 << 16}), ("--epochs", {"type": int, "default": 20}), ("--loss", {"choices": ["softmax", "hs", "ova"], "default": "softmax"}), ("--balanced", {"action": "store_true"}), ("--min-count", {"type": int, "default": 1}), ("--min-characters", {"type": int, "default": 1}), ("--max-characters", {"type": int, "default": 0}))
     add("infer-ngrams", ("--model", {"required": True}), ("--name", {"default": "classifier"}))
     add("eval-ngrams", ("--model", {"required": True}), output=False)
+    add("train-head", ("--vectors", {"required": True}), ("--kind", {"choices": ["classes", "number"], "default": "classes"}), ("--hidden", {"default": "512"}), ("--learning-rate", {"type": float, "default": 1e-3}), ("--batches", {"type": int, "default": 16}), ("--epochs", {"type": int, "default": 100}), ("--patience", {"type": int, "default": 5}), ("--held", {"type": float, "default": 0.1}), ("--balanced", {"action": "store_true"}))
+    add("eval-head", ("--model", {"required": True}), ("--vectors", {"required": True}), output=False)
     share = [(f"--max-{name}", {"type": int, "default": n}) for name, n in (("requests-per-minute", 10_000), ("tokens-per-minute", 100_000_000), ("concurrent-requests", 1_000), ("new-tokens", 16_384))]
     flags = [(f"--{name}", {"action": "store_true"}) for name in ("invalidate", "reprocess-all-rows", "one-call-each")]
     add("annotate-dataset", ("--prompt", {"required": True}), ("--limit-rows", {"type": int}), ("--store", {}), *flags, *share)
@@ -220,16 +291,28 @@ def parser() -> argparse.ArgumentParser:
     add("label-distribution", ("--value", {"action": "store_true"}), output=False)
     add("eval-calibration", ("--prediction-expression", {"default": ".prediction"}), ("--bins", {"type": int, "default": 10}), output=False)
     add("train-calibration", ("--prediction-expression", {"default": ".prediction"}), ("--model-type", {"choices": ["linear", "log-linear"], "default": "linear"}), output=False)
-    add("compare", ("--value", {"required": True}), output=False)
+    add("compare", ("--value", {"required": True}), ("--output", {}), output=False)
+    add("distil", ("--vocabulary", {}), ("--dimensions", {"type": dimensions}), ("--sif", {"type": float, "default": 1e-4}), ("--quantize", {"action": "store_true"}))
+    add("version", output=False, source=False)
     add("percentiles", ("--expression", {"default": ".score"}), ("--weight", {}), output=False)
     return p
 
 
+def shown(out: object) -> str:
+    """Results for a terminal: reports as tables, all else as JSON."""
+    if isinstance(out, dict) and "classes" in out and "overall" in out:
+        return display.panel("Overall", out["overall"]) + "\n\n" + display.table([{"label": k, **v} for k, v in out["classes"].items()])
+    if isinstance(out, dict) and "bins" in out:
+        rest = "\n\n".join(display.panel(k.capitalize(), v) for k, v in out.items() if isinstance(v, dict))
+        return rest + "\n\nReliability\n" + display.reliability_plot(out["bins"])
+    return json.dumps(out, indent=2, default=str)
+
+
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName(f"lodestone {a.command}").getOrCreate()
     if (out := run(spark, a)) is not None:
-        sys.stdout.write(json.dumps(out, indent=2, default=str) + "\n")
+        sys.stdout.write((shown(out) if a.show else json.dumps(out, indent=2, default=str)) + "\n")
 
 
 if __name__ == "__main__":

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.repair import cut_and_repair, joined, segments
+
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {}
 #: Tokens that chat templates reserve.
 SPECIAL_TOKENS = ("<|endoftext|>", "<|im_start|>", "<|im_end|>", "<|pad|>")
@@ -76,28 +78,8 @@ def nfkd(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def repaired(s: pd.Series) -> pd.Series:
-    """Mojibake of UTF-8 read as Windows-1252, curly quotes, ligatures, control characters, NFC."""
-    return s.map(lambda t: None if t is None else repair(t))
-
-
-_QUOTES = str.maketrans({"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"'})
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-_MOJIBAKE = re.compile("[ÂÃâ][\u0080-ÿŒœŠšŸŽžƒˆ˜–-™€‘-”•…‹›‰†‡]{1,2}")
-
-
-def _undo(m: re.Match) -> str:
-    try:
-        return m[0].encode("cp1252").decode("utf-8")
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        return m[0]
-
-
-def repair(text: str) -> str:
-    text = _MOJIBAKE.sub(_undo, text).translate(_QUOTES)
-    for a, b in _LIGATURES.items():
-        text = text.replace(a, b)
-    text = re.sub("[\x00-\x08\x0b\x0e-\x1f\x7f﻿]", "", text.replace("\r\n", "\n").replace("\r", "\n"))
-    return unicodedata.normalize("NFC", text)
+    """Cut after 2^20 characters at a line end; damaged UTF-8, curly quotes, ligatures, control characters, NFC."""
+    return s.map(lambda t: None if t is None else cut_and_repair(t))
 
 
 @register_normalizer("plsfix")
@@ -132,7 +114,7 @@ def _tabbed(text: str) -> str:
 def _plain_code(s: pd.Series) -> pd.Series:
     """Repaired, line feeds squeezed, without combining marks, indented by tabs."""
     def one(t: str) -> str:
-        t = unicodedata.normalize("NFKD", re.sub("\n{3,}", "\n\n", repair(t)))
+        t = unicodedata.normalize("NFKD", re.sub("\n{3,}", "\n\n", cut_and_repair(t)))
         return _tabbed("".join(c for c in t if unicodedata.category(c) != "Mn"))
 
     return s.map(lambda t: None if t is None else one(t))
@@ -173,13 +155,35 @@ def tokenizer_normalizer(path: str, lower: bool = False, strip: bool = False, es
     return run
 
 
+def segment_normalizer(path: str, code: bool = False) -> Callable[[Column], Column]:
+    """Tokens segment by segment, the runs of tabs and line ends between them spelled out.
+
+    Texts are repaired, without combining marks, and lower-cased with white space squeezed; of ``code``
+    the case stays and indentation becomes tabs.
+    """
+
+    def tokens(s: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_file(path)
+
+        def one(t: str) -> str:
+            t = re.sub("\n{3,}", "\n\n", cut_and_repair(t))
+            t = "".join(c for c in unicodedata.normalize("NFKD", t if code else t.lower()) if unicodedata.category(c) != "Mn")
+            inner, after = segments(_tabbed(t) if code else t, squeeze=not code)
+            return joined([e.tokens for e in coder.encode_batch(inner, add_special_tokens=False)], after)
+
+        return s.map(lambda t: None if t is None else one(t))
+
+    return F.pandas_udf(tokens, T.StringType())
+
+
 def register_tokenizer_normalizers(path: str) -> None:
     """``tokenizer``, ``ultrafine``, ``hyperfine`` and ``hyperfine-code`` over a local tokenizer file."""
     NORMALIZERS["tokenizer"] = tokenizer_normalizer(path)
     NORMALIZERS["ultrafine"] = tokenizer_normalizer(path, True, True, True)
-    NORMALIZERS["hyperfine"] = tokenizer_normalizer(path, True, True)
-    code = tokenizer_normalizer(path, False, True)
-    NORMALIZERS["hyperfine-code"] = lambda c: code(_plain_code(c))
+    NORMALIZERS["hyperfine"] = segment_normalizer(path)
+    NORMALIZERS["hyperfine-code"] = segment_normalizer(path, code=True)
 
 
 def has_space_indentation(c: Column, sample: int = 4096) -> Column:

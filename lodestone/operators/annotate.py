@@ -56,6 +56,31 @@ def rubric(language: str, low: int = 1, high: int = 5) -> Prompt:
 PROSE = rubric("prose").register()
 
 
+#: Topics with characters: fixed values.
+TOPICS = ("write_fiction", "games_and_role_play")
+
+
+def _of_topics(df: DataFrame) -> Column:
+    if "topic" not in df.columns:
+        raise ValueError("the prompt needs a field topic")
+    return F.coalesce(F.col("topic").isin(*TOPICS), F.lit(False))
+
+
+def _listed(answer: Column) -> Column:
+    """The answer's names in place of its comma-separated text."""
+    return answer.withField("names", X.character_list(answer["names"]))
+
+
+#: Who appears in a story or a game, of conversations that are one.
+CHARACTERS = Prompt(
+    "story_characters",
+    "Which characters with names of their own does the last message of the user mention? Answer with their names alone, in lower case, commas between them, or with nothing.",
+    T.StructType([T.StructField("names", T.StringType(), False)]),
+    subset=_of_topics,
+    postprocess=_listed,
+).register()
+
+
 def json_schema(schema: T.DataType) -> dict:
     """A strict JSON schema: every property is required and no other is allowed."""
     if isinstance(schema, T.StructType):

@@ -3,32 +3,68 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Odd multipliers of the permutations come from a rule, so the number of hashes is free.
-_GOLDEN = 0x9E3779B97F4A7C15
+#: A Mersenne prime: permutations are a x + b modulo it, and products stay within 62 bits.
+PRIME = (1 << 31) - 1
+
+
+def coefficients(i: int) -> tuple[int, int]:
+    """a (not 0) and b of permutation ``i``, by a rule, so the number of hashes is free."""
+    return 1 + (i + 1) * 0x9E3779B1 % (PRIME - 1), (i + 1) * 0x85EBCA6B % PRIME
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME, for 0 <= x < 2^62."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def minima(shingles: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
+    """For each document (whose numbers begin at ``starts``; none is empty) the smallest value of every permutation."""
+    out = np.empty((len(starts), hashes), np.int64)
+    for i in range(hashes):
+        a, b = coefficients(i)
+        out[:, i] = np.minimum.reduceat(reduced(a * shingles + b), starts)
+    return out
 
 
 def signatures(df: DataFrame, key: str, text: str, shingle: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
-    """``key, band, h``: the hash of each band of the MinHash of word shingles; texts without words have none."""
+    """``key, band, h``: the hash of each band of the MinHash of word shingles; texts without words have none.
+
+    A document's shingles are numbered and reduced within its row, so nothing is shuffled before the bands.
+    """
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        # A small table in few files: a text becomes hundreds of rows, so its rows are dealt out first.
+        # A small table in few files: its rows are dealt out first.
         df = df.select(key, text).repartition(cores)
+    number = f"cast(conv(substring(md5(array_join(slice(w, i + 1, {shingle}), ' ')), 1, 8), 16, 10) as bigint) % {PRIME}"
     base = df.select(key, words.alias("w")).where(F.size("w") > 0)
-    base = base.select(key, F.explode(F.expr(f"array_distinct(transform(sequence(0, greatest(size(w) - {shingle}, 0)), i -> xxhash64(array_join(slice(w, i + 1, {shingle}), ' '))))")).alias("x"))
-    # Bands are aggregated a few at a time under a group number: more columns than Spark generates code for would be interpreted.
-    some = max(1, min(bands, 25 // rows))
-    groups = -(-bands // some)
-    base = base.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-    # A permutation of 64 bits: a hash seeded by an odd multiple; the smallest of each over all shingles.
-    mixed = lambda i: F.xxhash64(F.col("x"), F.lit((_GOLDEN * (2 * i + 1)) % (1 << 63)), F.col("_g"))
-    mins = base.groupBy(key, "_g").agg(*(F.min(mixed(i)).alias(f"_m{i}") for i in range(some * rows)))
-    each = F.array(*(F.struct((F.col("_g") * some + b).alias("band"), F.xxhash64(*(f"_m{b * rows + r}" for r in range(rows))).alias("h")) for b in range(some)))
-    return mins.select(key, F.explode(each).alias("b")).select(key, "b.band", "b.h").where(F.col("band") < bands)
+    base = base.select(key, F.expr(f"array_distinct(transform(sequence(0, greatest(size(w) - {shingle}, 0)), i -> {number}))").alias("x"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            # Long texts have many shingles: some rows at a time.
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                x = batch.column(1)
+                sizes = x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                mins = minima(x.flatten().to_numpy(), np.cumsum(sizes) - sizes, bands * rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, mins.size + 1, bands * rows), pa.int32()), pa.array(mins.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "m"])
+
+    mins = base.mapInArrow(run, f"`{key}` {kind}, m array<bigint>")
+    each = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("m", b * rows + 1, rows)).alias("h")))
+    return mins.select(key, F.explode(each).alias("b")).select(key, "b.band", "b.h")
 
 
 def _shared_checkpoints(spark) -> None:

@@ -121,6 +121,41 @@ def file_quota_sample(spark, d):
     return sampling.file_quota(table(spark, d, "documents"), 20, "doc_id", "source", 7).select("doc_id", "source")
 
 
+def _quotas(total: int) -> str:
+    """DuckDB's form of the allotment by largest remainders over the sources' bytes."""
+    return f"""f AS (SELECT source, sum(strlen(text) + 1)::HUGEINT AS size FROM documents GROUP BY 1), a AS (SELECT sum(size)::HUGEINT AS whole FROM f),
+    e AS (SELECT source, size, {total} * size // whole AS least, {total} * size % whole AS rest FROM f, a),
+    q AS (SELECT source, size, least + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= {total} - sum(least) OVER () THEN 1 ELSE 0 END AS quota FROM e)"""
+
+
+def _sources(spark, d):
+    df = table(spark, d, "documents")
+    return df, df.groupBy(F.col("source").alias("file")).agg(F.sum(F.octet_length("text") + 1).alias("size"))
+
+
+@query(f"WITH {_quotas(1000)} SELECT source AS file, size::BIGINT AS size, quota::BIGINT AS quota FROM q")
+def file_allotment(spark, d):
+    """A thousand rows shared out among the sources in proportion to their bytes."""
+    return sampling.allotment(_sources(spark, d)[1], 1000)
+
+
+@query(f"""WITH {_quotas(150)}, r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {unit(42, 'doc_id')}, doc_id) - 1 AS r FROM documents)
+    SELECT doc_id, source FROM r JOIN q USING (source) WHERE r < quota""")
+def proportional_rows(spark, d):
+    """150 rows, each source's number in proportion to its bytes."""
+    df, files = _sources(spark, d)
+    return sampling.proportional_rows(df, files, 150, "doc_id", "source").select("doc_id", "source")
+
+
+@query(f"""WITH {_quotas(200_000)}, r AS (SELECT doc_id, source, strlen(text) + 1 AS own, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY {unit(42, 'doc_id')}) AS upto FROM documents)
+    SELECT doc_id, source, own::BIGINT AS bytes FROM r JOIN q USING (source) WHERE size <= quota OR upto - own < quota""")
+def byte_budget_sample(spark, d):
+    """200,000 bytes, each source's budget in proportion to its bytes and filled in hash order."""
+    df, files = _sources(spark, d)
+    kept = sampling.byte_budget(df, files, 200_000, "doc_id", F.octet_length("text") + 1, "source")
+    return kept.select("doc_id", "source", (F.octet_length("text") + 1).cast("long").alias("bytes"))
+
+
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {unit(333, 'doc_id')}, doc_id) - 1 AS position FROM documents")
 def shuffle_positions(spark, d):
     return sampling.positions(table(spark, d, "documents"), "doc_id", 333).select("doc_id", "position")
@@ -187,7 +222,15 @@ def potion_normalizer(spark, d):
     return table(spark, d, "documents").select("doc_id", X.get_normalizer("potion")(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(array_to_string(w[i + 1 : i + 5], ' ')), 1, 8))::BIGINT % {dedup.PRIME} AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 5, 0) + 1)) AS i FROM w WHERE len(w) > 0)),
+    p AS (SELECT i, 1 + (i + 1) * {0x9E3779B1} % {dedup.PRIME - 1} AS a, (i + 1) * {0x85EBCA6B} % {dedup.PRIME} AS b FROM (SELECT unnest(range(100)) AS i)),
+    m AS (SELECT doc_id, i, min((a * x + b) % {dedup.PRIME}) AS m FROM s, p GROUP BY 1, 2),
+    g AS (SELECT doc_id, i // 5 AS band, string_agg(m::VARCHAR, ',' ORDER BY i) AS h FROM m GROUP BY 1, 2),
+    l AS (SELECT DISTINCT g.doc_id AS b, f.a FROM g JOIN (SELECT band, h, min(doc_id) AS a FROM g GROUP BY 1, 2) f USING (band, h) WHERE f.a <> g.doc_id),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+    SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT node FROM r GROUP BY node HAVING min(seen) < node)""")
 def minhash_deduplicate(spark, d):
     """Documents that are left after MinHash near-duplicate removal (five-word shingles, 20 bands of 5)."""
     return dedup.deduplicate(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "lang")

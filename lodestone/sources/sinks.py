@@ -227,3 +227,35 @@ def write_numbered(df: DataFrame, folder: str, split: str, shard: str, shards: i
     name = F.concat(F.concat(F.col(split), F.lit("/")) if splits > 1 else F.lit(""), F.lit("shard_"), F.lpad(F.col(shard).cast("string"), digits, "0"), F.lit(".jsonl.zst"))
     line = F.col(value) if value else json_line(df, split, shard, order)
     return write_named(df.select(name.alias("name"), line.alias("value"), F.col(order).alias("_at")), folder, order=["_at"])
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small text of the driver's as a file, in any store that Hadoop reaches."""
+    system, place = _system(spark, path)
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
+def write_results(spark: SparkSession, folder: str, text: str) -> str:
+    """``results_<first six digits of the text's SHA-256>.yaml``."""
+    import hashlib
+
+    return write_text(spark, f"{folder.rstrip('/')}/results_{hashlib.sha256(text.encode()).hexdigest()[:6]}.yaml", text)
+
+
+def write_disagreements(diff: DataFrame, folder: str, names: tuple[str, str], max_rows: int = 100_000) -> list[Written]:
+    """Rows of ``compare.keyed_diff`` as JSON lines: text, both values, both names, both whole rows."""
+    out = diff.select(
+        F.col("key").alias("text"),
+        F.col("value1").alias("value_file1"),
+        F.col("value2").alias("value_file2"),
+        F.lit(names[0]).alias("file1_name"),
+        F.lit(names[1]).alias("file2_name"),
+        F.col("row1").alias("row_file1"),
+        F.col("row2").alias("row_file2"),
+    )
+    return write_dealt(out.select(json_line(out).alias("value")), folder, max_rows)

@@ -114,3 +114,14 @@ def test_sample_by_file_budget(spark, tmp_path):
         budget = 20_000 * source.stat().st_size / whole
         line = source.stat().st_size / (900, 90, 9)[k]
         assert budget - 1 <= kept.stat().st_size <= budget + line + 3
+
+
+def test_heads_over_token_vectors(spark, dataset):
+    words = [("good", [1.0, 0.0]), ("bad", [0.0, 1.0]), ("words", [0.3, 0.3]), ("end", [0.1, 0.2])]
+    spark.createDataFrame(words, "token string, vector array<double>").write.parquet(f"{dataset}/v")
+    said = call(spark, f"train-head --input {dataset}/d --output {dataset}/h --vectors {dataset}/v --hidden 4 --learning-rate 0.1 --batches 2 --epochs 12")
+    assert said["passes"] <= 12
+    out = call(spark, f"eval-head --input {dataset}/d --model {dataset}/h --vectors {dataset}/v")
+    assert out["overall"]["macro_f1"] == 1.0 and out["classes"]["pos"]["auc"] == 1.0
+    call(spark, f"train-ngrams --input {dataset}/d --output {dataset}/hs --ngrams 1 --buckets 64 --epochs 5 --loss hs --max-characters 3")
+    assert call(spark, f"eval-ngrams --input {dataset}/d --model {dataset}/hs")["classes"]["neg"]["auc"] == 1.0
