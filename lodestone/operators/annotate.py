@@ -169,7 +169,7 @@ def annotate(
                 part = f.iloc[lo : lo + batch]
                 yield pd.DataFrame({"_hash": part["_hash"], "_response": annotator(part["_prompt"].tolist(), schema), "_error": None})
 
-    wanted = asked.select("_hash", "_prompt").where("_prompt is not null").dropDuplicates(["_hash"])
+    wanted = asked.select("_hash", "_prompt").dropDuplicates(["_hash"])
     known = None
     if cache is not None:
         known = cache.where("prompt_hash is not null").groupBy("prompt_hash").agg(F.max("response").alias("response"))

@@ -8,6 +8,7 @@ Running sums and rank statistics of many different values go range by range
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,10 +64,10 @@ def auc_with_ties(df: DataFrame, score: str, rank: str) -> DataFrame:
     return each.agg(F.avg(F.when(cum, F.col("auc"))).alias("macro"), F.try_divide(F.sum(F.when(cum, F.col("auc") * F.col("P"))), F.sum(F.when(cum, F.col("P")))).alias("weighted"), F.avg(F.when(~cum, F.col("auc"))).alias("ordinal"))
 
 
-def _average_ranks(df: DataFrame, column: str) -> DataFrame:
+def _average_ranks(df: DataFrame, column: str, edges: Sequence) -> DataFrame:
     """``value, rank``: average rank of each distinct value."""
     g = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return running(g.where("value is not null"), "value", ["n"]).select("value", (F.col("upto_n") - (F.col("n") - 1) / 2).alias("rank"))
+    return running(g.where("value is not null"), "value", ["n"], edges=edges).select("value", (F.col("upto_n") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -78,8 +79,9 @@ def rank_correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """``n, pearson, spearman, kendall``: tau-b from the table of (a, b) counts. Rows without a or b do not count."""
     df = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null")
     a, b = "_a", "_b"
-    x = _average_ranks(df, a).select(F.col("value").alias(a), F.col("rank").alias("ra"))
-    y = _average_ranks(df, b).select(F.col("value").alias(b), F.col("rank").alias("rb"))
+    edges = boundaries(df, a), boundaries(df, b)
+    x = _average_ranks(df, a, edges[0]).select(F.col("value").alias(a), F.col("rank").alias("ra"))
+    y = _average_ranks(df, b, edges[1]).select(F.col("value").alias(b), F.col("rank").alias("rb"))
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
     ranked = cells.join(x, a).join(y, b)
     n = F.col("n").cast("double")
@@ -91,7 +93,7 @@ def rank_correlations(df: DataFrame, a: str, b: str) -> DataFrame:
         return F.coalesce(F.try_divide(cov, F.sqrt(var(u) * var(v))), F.lit(0.0))
 
     moments = ranked.agg(F.sum("n").alias("n"), weighted(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"), weighted(F.col("ra"), F.col("rb")).alias("spearman"))
-    net = concordance(cells, a, b, "n")
+    net = concordance(cells, a, b, "n", edges)
     pairs = lambda c: F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("double")).alias(c)
     ta = df.groupBy(a).agg(F.count("*").alias("n")).agg(pairs("ta"))
     tb = df.groupBy(b).agg(F.count("*").alias("n")).agg(pairs("tb"))

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many distinct values are one range.
-FEW = 4096
+#: Up to about so many distinct values are one range, which one task sorts.
+FEW = 100_000
 #: Distinct values sampled for each range; ranges at most.
 OVER, MOST = 32, 1024
 
@@ -27,8 +27,11 @@ def boundaries(values: DataFrame, column: str, ranges: int | None = None) -> lis
 
     The driver holds OVER values for each range.
     """
+    # A sketch counts the values without a shuffle, the same however they are partitioned.
+    if values.agg(F.approx_count_distinct(column)).first()[0] < FEW:
+        return []
     ranges = ranges or min(MOST, max(8, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    size = max(FEW, OVER * ranges)
+    size = OVER * ranges
     chosen = values.select(F.col(column).alias("v")).where("v is not null").distinct().orderBy(F.xxhash64("v"), "v").limit(size)
     rows = [r.v for r in chosen.orderBy("v").collect()]
     return [rows[len(rows) * i // ranges] for i in range(1, ranges)] if len(rows) >= size else []
@@ -87,6 +90,10 @@ def at_positions(df: DataFrame, value: str, wanted: Sequence[tuple[str, str]], b
     """
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     edges = boundaries(cells, "_v")
+    if not edges:
+        whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_v")
+        placed = cells.withColumns({"_upto": F.sum("_n").over(upto), "total": F.sum("_n").over(whole)})
+        return placed.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > F.expr(sql), F.col("_v"))).alias(name) for name, sql in wanted))
     picks = [F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name, _ in wanted]
     positions = F.explode(F.array(*(F.struct(F.lit(name).alias("_name"), F.expr(sql).cast("long").alias("_at")) for name, sql in wanted)))
     cut = cells.withColumn("_range", range_of(F.col("_v"), edges, cells.schema["_v"].dataType.simpleString()))
@@ -170,14 +177,14 @@ def _sums(keys: np.ndarray, w: np.ndarray) -> list[int]:
     return [int(s) for s in np.add.reduceat(w, cuts)]
 
 
-def concordance(cells: DataFrame, a: str, b: str, n: str) -> DataFrame:
+def concordance(cells: DataFrame, a: str, b: str, n: str, edges: tuple[Sequence, Sequence] | None = None) -> DataFrame:
     """One row, ``net decimal(38,0)``: concordant less discordant pairs of rows, over the table of (a, b) counts.
 
     Pairs in one range of a are counted in that range, pairs in one range of b across ranges of a in
     that range, and all others over the table of counts by both ranges, which has at most MOST * MOST cells.
     """
     rows = cells.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(n).cast("long").alias("n")).where("a is not null and b is not null")
-    of_a, of_b = boundaries(rows, "a"), boundaries(rows, "b")
+    of_a, of_b = edges or (boundaries(rows, "a"), boundaries(rows, "b"))
     kind = {c: rows.schema[c].dataType.simpleString() for c in "ab"}
     cut = rows.select(F.col("a").cast("double").alias("x"), F.col("b").cast("double").alias("y"), "n", range_of(F.col("a"), of_a, kind["a"]).alias("i"), range_of(F.col("b"), of_b, kind["b"]).alias("j"))
     strips = cut.select(F.lit(0).alias("kind"), F.col("i").alias("strip"), "x", "y", "n")

@@ -223,9 +223,10 @@ def potion_normalizer(spark, d):
 
 
 @query(f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
-    s AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(array_to_string(w[i + 1 : i + 5], ' ')), 1, 8))::BIGINT % {dedup.PRIME} AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 5, 0) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {dedup.PRIME}) AS n FROM w WHERE len(w) > 0),
+    s AS (SELECT DISTINCT doc_id, list_reduce(n[i + 1 : i + 5], lambda x, y: (x * {dedup.BASE} + y) % {dedup.PRIME}) AS x FROM (SELECT doc_id, n, unnest(range(greatest(len(n) - 5, 0) + 1)) AS i FROM n)),
     p AS (SELECT i, 1 + (i + 1) * {0x9E3779B1} % {dedup.PRIME - 1} AS a, (i + 1) * {0x85EBCA6B} % {dedup.PRIME} AS b FROM (SELECT unnest(range(100)) AS i)),
-    m AS (SELECT doc_id, i, min((a * x + b) % {dedup.PRIME}) AS m FROM s, p GROUP BY 1, 2),
+    m AS (SELECT doc_id, i, min(((a * x + b) & {dedup.PRIME}) + ((a * x + b) >> 31)) AS m FROM s, p GROUP BY 1, 2),
     g AS (SELECT doc_id, i // 5 AS band, string_agg(m::VARCHAR, ',' ORDER BY i) AS h FROM m GROUP BY 1, 2),
     l AS (SELECT DISTINCT g.doc_id AS b, f.a FROM g JOIN (SELECT band, h, min(doc_id) AS a FROM g GROUP BY 1, 2) f USING (band, h) WHERE f.a <> g.doc_id),
     e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),

@@ -236,3 +236,35 @@ def test_cut_text_is_a_parameter(spark):
     df = spark.createDataFrame([("a  b" * 1000, "X Y")], "text string, label string")
     assert len(rows.normalize_rows(df, "whitespace", "text", "label", 10).first().text) < 10
     assert len(rows.normalize_rows(df, "whitespace", "text", "label").first().text) == 3000
+
+
+def test_minhash_against_plain(spark):
+    import hashlib
+
+    import numpy as np
+
+    texts = ["a b c d e f g", "one", "x y z", "p q r s t", " ".join(f"w{i % 37}" for i in range(5000)), "a b c d e f h", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    number = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dedup.PRIME
+
+    def plain(text):
+        words = [number(w) for w in text.split()]
+        runs = [words[i : i + 5] for i in range(max(len(words) - 4, 1))]
+        values = []
+        for r in runs:
+            x = r[0]
+            for y in r[1:]:
+                x = (x * dedup.BASE + y) % dedup.PRIME
+            values.append(x)
+        out = []
+        for i in range(12):
+            a, b = dedup.coefficients(i)
+            out.append(min(((a * x + b) & dedup.PRIME) + ((a * x + b) >> 31) for x in values))
+        return out
+
+    sizes = np.array([len(t.split()) for t in texts if t])
+    numbers = np.array([number(w) for t in texts for w in t.split()])
+    for block in (1, 1 << 15):
+        assert dedup.minima(*dedup.shingled(numbers, sizes, 5), 12, block).tolist() == [plain(t) for t in texts if t]
+    bands = dedup.signatures(df, "id", "text", bands=4, rows=3).collect()
+    assert len(bands) == 6 * 4 and len({(r.id, r.band) for r in bands}) == 24
