@@ -158,8 +158,12 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> object:
     elif c == "count-tokens":
         df = inferred(spark, a.input)
         body = expression(df, a.text_field, a.text_expression, ".text").cast("string")
-        words = F.size(F.filter(F.split(body, r"(?U)\s+"), lambda w: w != ""))
-        return df.agg(F.coalesce(F.sum(words), F.lit(0)).alias("tokens"), F.count("*").alias("rows"), F.count_distinct("file").alias("files"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("bytes")).first().asDict()
+        counted = X.token_counts(a.tokenizer)(body) if a.tokenizer else F.size(F.filter(F.split(body, r"(?U)\s+"), lambda w: w != ""))
+        said = df.agg(F.coalesce(F.sum(counted), F.lit(0)).alias("tokens"), F.count("*").alias("rows"), F.count_distinct("file").alias("files"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("bytes")).first().asDict()
+        if a.totals:
+            stored = sum(sinks.file_sizes(spark, a.input).values())
+            said |= {"file_bytes": stored, "tokens_per_file": said["tokens"] / max(1, said["files"]), "tokens_per_byte": said["tokens"] / max(1, stored)}
+        return said
     elif c == "reshard-dataset":
         df = keyed(inferred(spark, a.input)).drop("split")
         out = sampling.reshard(df, "_id", a.files, a.test, a.valid, a.seed).drop("_id", "file")
@@ -276,7 +280,7 @@ def parser() -> argparse.ArgumentParser:
     add("convert-to-lines", ("--normalizer", {"default": "whitespace"}), ("--max-length", {"type": int}), ("--bins", {"type": int}), ("--single-file", {"action": "store_true"}))
     add("balance-dataset", ("--exact", {"action": "store_true"}))
     add("sample-dataset", ("--rate", {"type": float}), ("--target-size", {}), ("--by-file", {"action": "store_true"}))
-    add("count-tokens", output=False)
+    add("count-tokens", ("--tokenizer", {}), ("--totals", {"action": "store_true"}), output=False)
     add("reshard-dataset", ("--files", {"type": int, "required": True}), ("--test", {"type": number, "default": 0}), ("--valid", {"type": number, "default": 0}))
     add("train-ngrams", ("--ngrams", {"type": int, "default": 3}), ("--buckets", {"type": int, "default": 1 << 16}), ("--epochs", {"type": int, "default": 20}), ("--loss", {"choices": ["softmax", "hs", "ova"], "default": "softmax"}), ("--balanced", {"action": "store_true"}), ("--min-count", {"type": int, "default": 1}), ("--min-characters", {"type": int, "default": 1}), ("--max-characters", {"type": int, "default": 0}))
     add("infer-ngrams", ("--model", {"required": True}), ("--name", {"default": "classifier"}))

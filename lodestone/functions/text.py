@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
@@ -130,29 +131,55 @@ def ascii_only(c: Column) -> Column:
     return F.regexp_replace(strip_diacritics(c), r"[^\x00-\x7F]", "")
 
 
-def tokenizer_normalizer(path: str, lower: bool = False, strip: bool = False, escape: bool = False) -> Callable[[Column], Column]:
-    """A normaliser that joins a local tokenizer's tokens with spaces; ``path`` must be readable on executors."""
+def tokenizer_normalizer(path: str) -> Callable[[Column], Column]:
+    """A normaliser that repairs a text and joins a local tokenizer's tokens with spaces; ``path`` must be readable on executors."""
 
     def tokens(s: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_file(path)
         kept = s.fillna("")
-        out = [" ".join(coder.decode([i]).strip() if escape else t for i, t in zip(e.ids, e.tokens)) for e in coder.encode_batch(kept.tolist(), add_special_tokens=False)]
+        out = [" ".join(e.tokens) for e in coder.encode_batch(kept.tolist(), add_special_tokens=False)]
         return pd.Series(out, index=s.index).where(s.notna(), None)
 
     udf = F.pandas_udf(tokens, T.StringType())
+    return lambda c: udf(repaired(c))
 
-    def run(c: Column) -> Column:
-        t = squeeze_newlines(repaired(c))
-        t = F.lower(t) if lower else t
-        t = strip_diacritics(t) if strip else t
-        t = udf(t)
-        if escape:
-            t = F.replace(F.replace(F.replace(t, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
-        return _spaces(t)
 
-    return run
+def decoded_normalizer(path: str) -> Callable[[Column], Column]:
+    """Each token decoded by itself, spaces between; lower case, without combining marks, separators as escapes."""
+
+    def tokens(s: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_file(path)
+
+        def one(t: str) -> str:
+            t = re.sub("\n{3,}", "\n\n", t).lower()
+            t = "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn")
+            t = " ".join(coder.decode([i]) for i in coder.encode(t, add_special_tokens=False).ids)
+            for c, said in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+                t = t.replace(c, said)
+            return re.sub(" +", " ", t).strip()
+
+        return s.map(lambda t: None if t is None else one(t))
+
+    return F.pandas_udf(tokens, T.StringType())
+
+
+def token_counts(path: str) -> Callable[[Column], Column]:
+    """How many tokens of a local tokenizer a text has, without special ones; null: none."""
+
+    def count(s: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        coder, out = Tokenizer.from_file(path), []
+        kept = s.fillna("").tolist()
+        for at in range(0, len(kept), 500):
+            out += [len(e.ids) for e in coder.encode_batch(kept[at : at + 500], add_special_tokens=False)]
+        return pd.Series(out, index=s.index, dtype="int64")
+
+    return F.pandas_udf(count, T.LongType())
 
 
 def segment_normalizer(path: str, code: bool = False) -> Callable[[Column], Column]:
@@ -181,7 +208,7 @@ def segment_normalizer(path: str, code: bool = False) -> Callable[[Column], Colu
 def register_tokenizer_normalizers(path: str) -> None:
     """``tokenizer``, ``ultrafine``, ``hyperfine`` and ``hyperfine-code`` over a local tokenizer file."""
     NORMALIZERS["tokenizer"] = tokenizer_normalizer(path)
-    NORMALIZERS["ultrafine"] = tokenizer_normalizer(path, True, True, True)
+    NORMALIZERS["ultrafine"] = decoded_normalizer(path)
     NORMALIZERS["hyperfine"] = segment_normalizer(path)
     NORMALIZERS["hyperfine-code"] = segment_normalizer(path, code=True)
 
@@ -244,10 +271,17 @@ def truncate_at_line(c: Column, limit: int, reserve: int = 80) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(kept, F.lit("\n[truncated: "), left.cast("string"), F.lit(" characters, "), rows.cast("string"), F.lit(" lines]")))
 
 
+@F.pandas_udf(T.StringType())
+def _py_nested(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else str(json.loads(t)))
+
+
 def py_str(c: Column, kind: str) -> Column:
-    """A scalar as Python's str() writes it."""
+    """A value as Python's str() writes it; of ``kind`` array, struct or map as its lists and dictionaries."""
     if kind == "boolean":
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    if kind.startswith(("array", "struct", "map")):
+        return _py_nested(F.to_json(c, {"ignoreNullFields": "false"}))
     return c.cast("string")
 
 
@@ -265,3 +299,22 @@ def pretty_size(n: float) -> str:
             return f"{n:.2f} {unit}"
         n /= 1024
     return f"{n:.2f} PB"
+
+
+def pretty_length(n: float) -> str:
+    """A count in thousands, millions, and so on."""
+    for unit in ("", "K", "M", "B"):
+        if abs(n) < 1000:
+            return f"{n:.2f}{unit}" if unit else f"{n:g}"
+        n /= 1000
+    return f"{n:.2f}T"
+
+
+def pretty_time(seconds: float) -> str:
+    """Days, hours, minutes and seconds, from the largest that is not 0."""
+    whole, out = int(seconds), []
+    for unit, size in (("d", 86_400), ("h", 3600), ("m", 60)):
+        if whole >= size or out:
+            out.append(f"{whole // size}{unit}")
+            whole %= size
+    return " ".join([*out, f"{whole}s"])

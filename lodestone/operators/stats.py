@@ -24,6 +24,12 @@ def value_statistics(df: DataFrame, value: str, percents: Sequence[int] = PERCEN
     return base.crossJoin(placed.select(median().alias("median"), *(f"p{p}" for p in percents)))  # one row each
 
 
+def extent(df: DataFrame, value: str) -> DataFrame:
+    """One row: ``n, different, min, max`` of the values that are not null."""
+    v = F.col(value)
+    return df.agg(F.count(v).alias("n"), F.count_distinct(v).alias("different"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
 def distribution(df: DataFrame, label: str, ordinal: bool = True) -> DataFrame:
     """Counts with shares and running shares; by label, or by count."""
     order = [F.col("label")] if ordinal else [F.col("n").desc(), F.col("label")]

@@ -122,6 +122,11 @@ def value_statistics(spark, d):
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@query("SELECT count(value) AS n, count(DISTINCT value) AS different, min(value) AS min, max(value) AS max FROM events")
+def value_extent(spark, d):
+    return stats.extent(table(spark, d, "events"), "value")
+
+
 @query(_positional("length(url)", "pages", (1, 5, 10, 25, 50, 75, 90, 95, 99)))
 def key_length_statistics(spark, d):
     out = stats.value_statistics(table(spark, d, "pages").select(F.length("url").cast("long").alias("n")), "n", (1, 5, 10, 25, 50, 75, 90, 95, 99))

@@ -176,6 +176,12 @@ def json_line(df: DataFrame, *drop: str) -> Column:
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in drop)), {"ignoreNullFields": "false"})
 
 
+def file_sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Bytes of each data file of ``folder`` as it is stored."""
+    system, _ = _system(spark, folder)
+    return {file: system.getFileStatus(_system(spark, file)[1]).getLen() for file in list_files(spark, folder)}
+
+
 def relative_names(spark: SparkSession, folders: Sequence[str]) -> dict[str, str]:
     """The path of each data file of ``folders`` below its folder; two files of one path are an error."""
     out: dict[str, str] = {}

@@ -107,3 +107,18 @@ def test_p_values():
     r, n = 0.3, 3
     t = r / math.sqrt((1 - r * r) / (n - 2))
     assert metrics.two_sided_p(r, n) == pytest.approx(1 - 2 * math.atan(t) / math.pi)
+
+
+def test_tokens_and_words_of_python(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert column(spark, ["Hello world", "", None], X.token_counts(path)) == [2, 0, 0]
+    assert column(spark, ["Héllo\n\n\n\nWorld", None], X.decoded_normalizer(path)) == ["hello</w> world</w>", None]
+    byte_level = public_tokenizers.path("byte_bpe_50k.json")
+    assert column(spark, ["A\n\n\n\nb\tc"], X.decoded_normalizer(byte_level)) == ["a \\n \\n b \\t c"]
+    df = spark.createDataFrame([([1, None], {"a": 1.5}, True)], "l array<int>, m map<string,double>, b boolean")
+    row = df.select(*(X.py_str(F.col(c), df.schema[c].dataType.simpleString()).alias(c) for c in df.columns)).first()
+    assert (row.l, row.m, row.b) == ("[1, None]", "{'a': 1.5}", "True")
+    assert [X.pretty_length(n) for n in (7, 1500, 2_500_000)] == ["7", "1.50K", "2.50M"]
+    assert [X.pretty_time(n) for n in (5.9, 61, 90_061)] == ["5s", "1m 1s", "1d 1h 1m 1s"]

@@ -88,6 +88,15 @@ def test_results_are_written(spark, tmp_path):
         call(spark, f"label-distribution --input {folder}/none")
 
 
+def test_token_totals(spark, tmp_path):
+    import public_tokenizers
+
+    folder = put(tmp_path / "a" / "x.jsonl", [{"text": "Hello world"}, {"text": "one two three"}])
+    said = call(spark, f"count-tokens --input {folder} --totals --tokenizer {public_tokenizers.path('word_bpe_49k.json')}")
+    size = (tmp_path / "a" / "x.jsonl").stat().st_size
+    assert said["tokens"] == 5 and said["file_bytes"] == size and said["tokens_per_file"] == 5 and said["tokens_per_byte"] == pytest.approx(5 / size)
+
+
 def test_distil_command(spark, tmp_path):
     spark.createDataFrame([("a", [1.0, 2.0], 5), ("b", [3.0, -4.0], 5), ("c", [9.0, 9.0], 1)], "token string, vector array<double>, n long").write.parquet(f"{tmp_path}/v")
     (tmp_path / "words.txt").write_text("a\nb\n")
