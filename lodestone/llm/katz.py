@@ -29,7 +29,7 @@ unknown. Repeated rows count as they stand; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import make_blocks, read_head
-from lodestone.llm.common import n_targets, narrow, pack, texts, tidy, unpack, unpack_words, written
+from lodestone.llm.common import discard, n_targets, narrow, pack, texts, tidy, unpack, unpack_words, written
 
 K = 5
 ORDER = 3
@@ -220,19 +220,34 @@ def _asked(t: Tokens, n: int, words: Grams, lower: Grams, targets: int, spread:
         before[t.place < n - 2] = -1
     asks = np.flatnonzero(before >= 0)
     asks = asks[lower.counts[before[asks]] > 0]
-    key = before[asks] * len(words.ids) + t.codes[asks]
-    distinct, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-    weight = np.bincount(inverse, weights=np.repeat(~t.held, t.sizes)[asks], minlength=len(distinct)).astype(np.int64)
-    past, own = before[asks][one], t.codes[asks][one]
-    tail = lower.at[asks][one]
-    h, w, often = lower.ids[past], words.ids[own], lower.counts[past]
-    part = (h % targets + w % (1 + often // spread) * 40503) % targets
-    order = np.lexsort((w, h, part))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    past, own = before[asks], t.codes[asks]
+    part = (lower.ids % targets)[past]
+    wide = np.flatnonzero((lower.counts >= spread)[past])
+    if len(wide):
+        h = past[wide]
+        part[wide] = (part[wide] + words.ids[own[wide]] % (1 + lower.counts[h] // spread) * 40503) % targets
+    # One number for each n-gram, in order of part, history's id and word's id.
+    key = part * len(lower.ids) + _rank(lower.ids)[past]
+    if targets * len(lower.ids) * len(words.ids) >= 1 << 63:
+        key = np.unique(key, return_inverse=True)[1]
+    key = key * len(words.ids) + _rank(words.ids)[own]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    inverse = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
     at = np.full(len(t.codes), -1)
-    at[asks] = rank[inverse]
-    return at, *(x[order] for x in (part, h, w, weight, often, lower.counts[tail], lower.denominators[tail]))
+    at[asks[order]] = inverse
+    weight = np.bincount(inverse, weights=np.repeat(~t.held, t.sizes)[asks[order]], minlength=len(new)).astype(np.int64)
+    one = order[new]
+    past, own, tail = past[one], own[one], lower.at[asks[one]]
+    return at, part[one], lower.ids[past], words.ids[own], weight, lower.counts[past], lower.counts[tail], lower.denominators[tail]
+
+
+def _rank(ids: np.ndarray) -> np.ndarray:
+    """Each id's place among the ids (all different) in order."""
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids)] = np.arange(len(ids))
+    return rank
 
 
 def _packed(h: np.ndarray, w: np.ndarray, c: np.ndarray, often: np.ndarray, lower: np.ndarray, under: np.ndarray) -> bytes:
@@ -259,8 +274,9 @@ def _answered(at: np.ndarray, rows: list[tuple[int, bytes]], targets: int) -> Gr
         denominators.append(d.astype(np.int64))
         alphas.append(a)
     c = np.concatenate(counts)
-    alpha = np.ones(len(c))
-    alpha[c == 0] = np.concatenate(alphas)
+    alpha, weights = np.ones(len(c)), np.concatenate(alphas)
+    if len(weights):
+        alpha[c == 0] = weights
     return Grams(at, np.concatenate(ids), c, np.concatenate(denominators), alpha)
 
 
@@ -317,9 +333,9 @@ def _sums(data: bytes, n: int, totals: Totals):
     return c, at, h, often, add(c - totals.discounted(n, c)), add(np.where(c > 0, p, 0.0))
 
 
-def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int) -> DataFrame:
-    """For each block and part: packed steps of the numbers, counts, histories' denominators, and the
-    backoff weights of the n-grams not seen, in the order asked."""
+def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int) -> Callable[[bool], DataFrame]:
+    """For each block and part: packed steps of the numbers, counts, histories' denominators, and, if the function
+    returned is given True, the backoff weights of the n-grams not seen, in the order asked."""
     shape = pa.schema([("h", pa.int64()), ("target", pa.int32()), ("cut", pa.float64()), ("lower", pa.float64())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +351,7 @@ def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int)
     back = some.select("h", "target").join(whole, "h").groupBy("target").agg(F.collect_list(F.struct("h", "cut", "lower")).alias("wide"))
     rows = table.select("target", "data", "shares").join(written(back, "katz-spread-sums"), "target", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], weights: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 target, data, shares, wide = (batch.column(k)[i].as_py() for k in range(4))
@@ -352,10 +368,10 @@ def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int)
                 for a, b in zip((ends - sizes).tolist(), ends.tolist()):
                     own = np.cumsum(steps[a:b], dtype=np.int64)
                     past, seen = at[own], c[own]
-                    out.append(pack(steps[a:b], narrow(seen), narrow(denominator[past]), alpha[past[seen == 0]]))
+                    out.append(pack(steps[a:b], narrow(seen), narrow(denominator[past]), alpha[past[seen == 0]] if weights else alpha[:0]))
                 yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(out), target, np.int32)), pa.array(out, pa.binary())], schema=_ROW)
 
-    return rows.mapInArrow(run, ROW)
+    return lambda weights: rows.mapInArrow(lambda batches: run(batches, weights), ROW)
 
 
 @dataclass
@@ -386,8 +402,10 @@ def fit_and_score(docs: DataFrame, mod: int = 10, order: int = ORDER, spread: in
         return np.bincount(codes, weights=np.repeat(train, counts), minlength=n_words).astype(np.int64)
 
     blocks = make_blocks(texts(docs), split, targets, "katz-blocks", weigh)
-    heads = blocks.where("head is not null").select("block", F.col("head").cast("binary").alias("data"))
+    heads = written(blocks.where("head is not null").select("block", F.col("head").cast("binary").alias("data")), "katz-refs")
     counted = written(count_words(blocks.where("target is not null").select("block", "target", "part")), "katz-words")
+    # Its words are in the parts' tables now, its references in ``heads``.
+    discard(blocks)
     words = counted.where("block is null")
     types, tokens, *n1 = _histogram(words, 2)
     d1 = discounts([0, *n1])
@@ -395,7 +413,8 @@ def fit_and_score(docs: DataFrame, mod: int = 10, order: int = ORDER, spread: in
     denominator = float(tokens) if kept < tokens and tokens else float(tokens + 1)
     totals = Totals(tokens, types, denominator, max(1 - kept / denominator, 0.0) if tokens else 1.0, {1: d1})
 
-    known = _tagged(heads, 0).unionByName(_tagged(counted.where("block is not null"), 1))
+    # What blocks need to ask for the next order, and to score.
+    asking = known = _tagged(heads, 0).unionByName(_tagged(counted.where("block is not null"), 1))
     tables = {}
     for n in range(2, order + 1):
 
@@ -408,11 +427,13 @@ def fit_and_score(docs: DataFrame, mod: int = 10, order: int = ORDER, spread: in
             rows = [_packed(h[a:b], *(x[a:b] for x in rest)) for a, b in zip(ends[used], ends[used + 1])]
             return pa.Table.from_arrays([pa.array([block] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(rows, pa.binary())], schema=_ROW)
 
-        table = written(count_grams(known.groupBy("block").applyInArrow(ask, ROW), spread), f"katz-grams-{n}")
+        table = written(count_grams(asking.groupBy("block").applyInArrow(ask, ROW), spread), f"katz-grams-{n}")
         tables[n] = table
         of = table.agg(*(F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, K + 2))).first()
         totals.d[n] = discounts([0, *of])
-        known = known.unionByName(_tagged(answers(table, n, totals, targets, spread), n))
+        answered = answers(table, n, totals, targets, spread)
+        known = known.unionByName(_tagged(answered(True), n))
+        asking = asking.unionByName(_tagged(answered(False), n))
         tidy(docs.sparkSession)
 
     shape = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

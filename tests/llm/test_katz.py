@@ -1,5 +1,6 @@
 import functools
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import katz
+from lodestone.llm.blocks import make_blocks
 
 
 def brute(rows, mod=10, order=3):
@@ -106,3 +108,29 @@ def test_empty_and_only_held_out(spark, no_docs):
     docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")
     rows = katz.fit_and_score(docs).scores.collect()
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.score == 0.0 for r in rows)
+
+
+def test_blocks_words_are_gone_once_counted(odd_docs, monkeypatch):
+    """The blocks' words do not stand beside the tables of n-grams."""
+    made = []
+    monkeypatch.setattr(katz, "make_blocks", lambda *a: made.append(make_blocks(*a)) or made[0])
+    rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
+    close(katz.fit_and_score(odd_docs).scores.collect(), brute(rows)[0])
+    folder = made[0].inputFiles()[0].rsplit("/", 1)[0]
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
+def test_ngrams_of_a_block_stand_in_order_of_part_history_and_word():
+    rng = np.random.default_rng(3)
+    codes = np.append(rng.integers(0, 20, 499), 20)
+    t = katz.Tokens(np.zeros(1, np.int64), np.zeros(1, bool), np.zeros(1, bool), np.array([500]), np.array([0]), codes, np.arange(500))
+    ids = rng.permutation(1000)[:21]
+    words = katz.Grams(codes, ids, np.bincount(codes, minlength=21) * 3, np.zeros(21, np.int64))
+    want = Counter((int(ids[a]) % 7 if words.counts[a] < 40 else int(ids[a] % 7 + ids[b] % (1 + words.counts[a] // 40) * 40503) % 7, int(ids[a]), int(ids[b])) for a, b in zip([codes[-1], *codes[:-1]], codes))
+    for big in (False, True):
+        targets = 7 if not big else 7 * 2**60
+        at, part, h, w, weight, *_ = katz._asked(t, 2, words, words, targets, 40 if not big else 10**9)
+        got = list(zip(part.tolist(), h.tolist(), w.tolist()))
+        assert got == sorted(got) and len(set(got)) == len(want) and weight.sum() == 500
+        assert big or dict(zip(got, weight.tolist())) == want
+        assert [got[k][1:] for k in at] == [(ids[a], ids[b]) for a, b in zip([codes[-1], *codes[:-1]], codes)]
