@@ -196,7 +196,7 @@ def _tokens(head: list[np.ndarray], mod: int) -> Tokens:
 class Grams:
     """A block's different n-grams of one order, by part, history and word; and which one each token ends (-1: none).
 
-    ``ids``, ``counts``, ``denominators`` and ``alphas`` (of those not seen) are known once the parts have answered.
+    ``ids`` (not of the last order), ``counts``, ``denominators`` and ``alphas`` (of those not seen) are known once the parts have answered.
     """
 
     at: np.ndarray
@@ -333,9 +333,9 @@ def _sums(data: bytes, n: int, totals: Totals):
     return c, at, h, often, add(c - totals.discounted(n, c)), add(np.where(c > 0, p, 0.0))
 
 
-def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int) -> Callable[[bool], DataFrame]:
-    """For each block and part: packed steps of the numbers, counts, histories' denominators, and, if the function
-    returned is given True, the backoff weights of the n-grams not seen, in the order asked."""
+def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int) -> Callable[[bool, bool], DataFrame]:
+    """A function (steps, weights) of what to send to each block and part, in the order asked, packed: steps of the
+    numbers if wanted, counts, histories' denominators, and, if wanted, backoff weights of the n-grams not seen."""
     shape = pa.schema([("h", pa.int64()), ("target", pa.int32()), ("cut", pa.float64()), ("lower", pa.float64())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +351,7 @@ def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int)
     back = some.select("h", "target").join(whole, "h").groupBy("target").agg(F.collect_list(F.struct("h", "cut", "lower")).alias("wide"))
     rows = table.select("target", "data", "shares").join(written(back, "katz-spread-sums"), "target", "left")
 
-    def run(batches: Iterator[pa.RecordBatch], weights: bool) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], numbers: bool, weights: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 target, data, shares, wide = (batch.column(k)[i].as_py() for k in range(4))
@@ -368,10 +368,10 @@ def answers(table: DataFrame, n: int, totals: Totals, targets: int, spread: int)
                 for a, b in zip((ends - sizes).tolist(), ends.tolist()):
                     own = np.cumsum(steps[a:b], dtype=np.int64)
                     past, seen = at[own], c[own]
-                    out.append(pack(steps[a:b], narrow(seen), narrow(denominator[past]), alpha[past[seen == 0]] if weights else alpha[:0]))
+                    out.append(pack(steps[a:b] if numbers else steps[:0], narrow(seen), narrow(denominator[past]), alpha[past[seen == 0]] if weights else alpha[:0]))
                 yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(out), target, np.int32)), pa.array(out, pa.binary())], schema=_ROW)
 
-    return lambda weights: rows.mapInArrow(lambda batches: run(batches, weights), ROW)
+    return lambda numbers, weights: rows.mapInArrow(lambda batches: run(batches, numbers, weights), ROW)
 
 
 @dataclass
@@ -432,8 +432,8 @@ def fit_and_score(docs: DataFrame, mod: int = 10, order: int = ORDER, spread: in
         of = table.agg(*(F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, K + 2))).first()
         totals.d[n] = discounts([0, *of])
         answered = answers(table, n, totals, targets, spread)
-        known = known.unionByName(_tagged(answered(True), n))
-        asking = asking.unionByName(_tagged(answered(False), n))
+        known = known.unionByName(_tagged(answered(n < order, True), n))
+        asking = asking.unionByName(_tagged(answered(True, False), n))
         tidy(docs.sparkSession)
 
     shape = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
